@@ -48,6 +48,6 @@ SELECT o_custkey AS student, year(o_orderdate) AS year,
        sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0 END) AS pell, sum(o_totalprice) AS grants
 FROM orders GROUP BY o_custkey, year(o_orderdate)""",
     "prereq_v": """
-SELECT DISTINCT e.subject || '_' || e.course_num AS course, e.subject || '_' || CAST(CAST(e.course_num AS INT) - 1 AS STRING) AS prereq
+SELECT DISTINCT e.subject || '_' || e.course_num AS course, e.subject || '_' || CAST(TRY_CAST(e.course_num AS INT) - 1 AS STRING) AS prereq
 FROM enrolment_v e WHERE length(e.course_num) = 3 AND e.course_num > '100'""",
 }

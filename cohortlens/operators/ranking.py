@@ -20,14 +20,22 @@ def cut_count(spark: SparkSession) -> int:
 def edges_below(x: Column, edges: Column, n_edges: int) -> Column:
     """How many sorted edges lie strictly below x, by binary search; ``n_edges`` is 2^k - 1."""
     steps = [1 << i for i in reversed(range(n_edges.bit_length()))]
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),
         lambda i, step: F.when(F.element_at(edges, i + step) < x, i + step).otherwise(i))
+    return F.coalesce(found, F.lit(0))  # never NULL, so no null filter is pushed down to the scan
 
 
-def _cut_array(df: DataFrame, x: str, n: int) -> Column:
+def _with_ranges(per: DataFrame, x: str) -> DataFrame:
+    """Add the range number ``__range`` of x. The cut points are read from the same aggregate that is
+    cut (all of its columns are used, so both share one shuffle)."""
+    n = cut_count(per.sparkSession)
     probs = [i / (n + 1) for i in range(1, n + 1)]
-    return df.agg(F.percentile_approx(x, F.lit(probs), F.lit(max(10000, 4 * n)))).scalar()
+    cuts = F.percentile_approx(x, F.lit(probs), F.lit(max(10000, 4 * n))).alias("cuts")
+    used = [F.max(c).alias(c) for c in per.columns if c != x]
+    row = per.agg(F.struct(cuts, *used)).scalar()
+    return per.withColumn("__e", row).withColumn(
+        "__range", edges_below(F.col(x), F.col("__e")["cuts"], n)).drop("__e")
 
 
 def cumulate(df: DataFrame, by, x: str, sums: dict | None = None) -> DataFrame:
@@ -39,9 +47,7 @@ def cumulate(df: DataFrame, by, x: str, sums: dict | None = None) -> DataFrame:
     names = ["n", *sums]
     per = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    cuts = cut_count(df.sparkSession)
-    per = per.withColumn("__e", _cut_array(per, x, cuts)).withColumn(
-        "__range", edges_below(F.col(x), F.col("__e"), cuts)).drop("__e")
+    per = _with_ranges(per, x)
     totals = per.groupBy(*by, "__range").agg(*[F.sum(k).alias(f"__t_{k}") for k in names])
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "__range", *[
@@ -97,12 +103,7 @@ def ordinal_rank(df: DataFrame, by, x: str | None, ids, seed=0, out: str = "rank
     value = [] if x is None else [x]
     cell = [*by, *value, "__p"]
     per = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    if x is None:
-        per = per.withColumn("__range", F.lit(0))
-    else:
-        cuts = cut_count(df.sparkSession)
-        per = per.withColumn("__e", _cut_array(per.select(x).distinct(), x, cuts)).withColumn(
-            "__range", edges_below(F.col(x), F.col("__e"), cuts)).drop("__e")
+    per = per.withColumn("__range", F.lit(0)) if x is None else _with_ranges(per, x)
     totals = per.groupBy(*by, "__range").agg(*[F.sum(k).alias(f"__t_{k}") for k in names])
     ranges = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, "__range", *[

@@ -89,9 +89,9 @@ def trailing_mean(df: DataFrame, keys, terms: Column, num: str, den: str, span:
     the work is one aggregate; ``terms`` is the calendar array.
     """
     per = df.groupBy(*_cols(keys), time).agg(F.sum(num).alias("__num"), F.sum(den).alias("__den"))
-    seen_by = F.filter(terms, lambda t: (t > F.col(time)) & (t <= F.col(time) + span))
+    seen_by = F.filter("__terms", lambda t: (t > F.col(time)) & (t <= F.col(time) + span))
     return (
-        per.withColumn("__target", F.explode(seen_by))
+        per.withColumn("__terms", terms).withColumn("__target", F.explode(seen_by))
         .groupBy(*_cols(keys), F.col("__target").alias(time))
         .agg(ratio(F.sum("__num"), F.sum("__den")).alias("avg_grade"))
     )

@@ -1,5 +1,8 @@
 """Multi-file scans and sinks."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
@@ -10,16 +13,17 @@ def scan_csv_dir(spark: SparkSession, path: str, tag: str = "year", pattern: str
     return raw.select("*", F.regexp_extract("_metadata.file_path", pattern, 1).cast("int").alias(tag)).distinct()
 
 
-def scan_snapshots(spark: SparkSession, paths, cols, out: str = "source", fmt: str = "parquet") -> DataFrame:
-    """Snapshot files of one schema, projected and numbered in file-name order.
-
-    The file list comes from a distinct over file names; the number of files, not of rows, bounds the
-    ranked table.
-    """
-    df = spark.read.format(fmt).load(paths).select(*cols, F.col("_metadata.file_name").alias("__file"))
-    numbered = df.select("__file").distinct().withColumn(
-        out, F.dense_rank().over(Window.orderBy("__file")) - 1)
-    return df.join(numbered, "__file").drop("__file")
+def scan_snapshots(spark: SparkSession, paths, cols, out: str = "source", fmt: str = "parquet",
+                   tag: str = r"([^/]+)$", schema=None) -> DataFrame:
+    """Snapshot files of one schema, projected and numbered from 0 in the order of their tag (by default
+    the file name). The number of files, not of rows, bounds the ranked table."""
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.load(paths).select(*cols, F.regexp_extract("_metadata.file_path", tag, 1).alias("__tag"))
+    numbered = df.select("__tag").distinct().withColumn(
+        out, (F.dense_rank().over(Window.orderBy("__tag")) - 1).cast("int"))
+    return df.join(numbered, "__tag").drop("__tag")
 
 
 def sink(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode: str = "overwrite") -> DataFrame:
@@ -36,12 +40,19 @@ def sink(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode:
     return reader.load(path)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one the session names; a local session without one gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="run-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder the session names."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -8,9 +8,25 @@ from cohortlens.functions.nulls import first_of
 from cohortlens.functions.terms import term_of_date
 
 
+# Column types of the driver tables the views read; a declared schema saves a footer pass per scan.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+}
+
+
 def load(spark: SparkSession, directory: str, name: str, fmt: str = "parquet") -> DataFrame:
     """One keyed table; CSV is read with a header and as text."""
     reader = spark.read
+    if fmt == "parquet" and name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
     if fmt == "csv":
         return reader.csv(f"{directory}/{name}.csv", header=True, inferSchema=False)
     return reader.format(fmt).load(f"{directory}/{name}.{fmt}")
