@@ -129,18 +129,19 @@ def fill_if_unique(r):
     return w.fill_if_unique(e, ["student", "strm", "subject", "course_num"], "grade")
 
 
-def trend_sql(table: str, x: str) -> str:
-    return f"""v AS (SELECT student, strm, {x} AS v, row_number() OVER (PARTITION BY student ORDER BY strm) AS i FROM {table} WHERE {x} IS NOT NULL),
-h AS (SELECT t.student, t.strm, v.v, row_number() OVER (PARTITION BY t.student, t.strm ORDER BY v.i) AS pos, count(*) OVER (PARTITION BY t.student, t.strm) AS n
-  FROM {table} t JOIN v ON v.student=t.student AND v.strm < t.strm),
-f AS (SELECT a.student, a.strm, a.pos AS start, regr_slope(b.v, b.pos) AS slope, regr_r2(b.v, b.pos) AS r2, var_pop(b.v) AS vv FROM h a JOIN h b ON a.student=b.student AND a.strm=b.strm AND b.pos >= a.pos
+def trend_ctes(table: str, x: str, p: str = "") -> str:
+    """Tables ending in ``{p}trend`` (student, strm, trend), by explicit suffix regressions."""
+    return f"""{p}v AS (SELECT student, strm, {x} AS v, row_number() OVER (PARTITION BY student ORDER BY strm) AS i FROM {table} WHERE {x} IS NOT NULL),
+{p}h AS (SELECT t.student, t.strm, v.v, row_number() OVER (PARTITION BY t.student, t.strm ORDER BY v.i) AS pos, count(*) OVER (PARTITION BY t.student, t.strm) AS n
+  FROM {table} t JOIN {p}v v ON v.student=t.student AND v.strm < t.strm),
+{p}f AS (SELECT a.student, a.strm, a.pos AS start, regr_slope(b.v, b.pos) AS slope, regr_r2(b.v, b.pos) AS r2, var_pop(b.v) AS vv FROM {p}h a JOIN {p}h b ON a.student=b.student AND a.strm=b.strm AND b.pos >= a.pos
   WHERE a.n - a.pos + 1 >= 3 GROUP BY ALL),
-best AS (SELECT student, strm, slope FROM (SELECT *, row_number() OVER (PARTITION BY student, strm ORDER BY CASE WHEN vv < 1e-12 THEN 1.0 ELSE round(r2,9) END DESC, start) AS rn FROM f) WHERE rn=1),
-two AS (SELECT student, strm, max(CASE WHEN pos=2 THEN v END) - max(CASE WHEN pos=1 THEN v END) AS d FROM h WHERE n=2 GROUP BY ALL)
-SELECT t.student, t.strm, coalesce(best.slope, two.d, 0) AS trend FROM {table} t LEFT JOIN best USING (student, strm) LEFT JOIN two USING (student, strm)"""
+{p}best AS (SELECT student, strm, slope FROM (SELECT *, row_number() OVER (PARTITION BY student, strm ORDER BY CASE WHEN vv < 1e-12 THEN 1.0 ELSE round(r2,9) END DESC, start) AS rn FROM {p}f) WHERE rn=1),
+{p}two AS (SELECT student, strm, max(CASE WHEN pos=2 THEN v END) - max(CASE WHEN pos=1 THEN v END) AS d FROM {p}h WHERE n=2 GROUP BY ALL),
+{p}trend AS (SELECT t.student, t.strm, coalesce(b.slope, w.d, 0) AS trend FROM {table} t LEFT JOIN {p}best b USING (student, strm) LEFT JOIN {p}two w USING (student, strm))"""
 
 
-@query("e15_best_suffix_trend", f"WITH {PER_TERM}, {trend_sql('per', 'completed')}")
+@query("e15_best_suffix_trend", f"WITH {PER_TERM}, {trend_ctes('per', 'completed')} SELECT * FROM trend")
 def best_suffix_trend(r):
     return w.best_suffix_trend(per_term(r), "student", "strm", "completed").select("student", "strm", "trend")
 
