@@ -7,6 +7,7 @@ from cohortlens.functions.terms import nth_term
 from cohortlens.operators import aggs as a
 from cohortlens.operators import sampling as s
 from cohortlens.operators.ranking import shuffle_order
+from cohortlens.operators.setops import append
 
 
 @query("k01_split_by", "SELECT (strm >= 2000)::INT AS part, count(*) AS n, sum(credit) AS credit FROM enrolment_v GROUP BY ALL")
@@ -84,8 +85,10 @@ def truncation(r):
     att = attended(r)
     props = _proportions(att)
     sizes = att.groupBy("valid").agg(F.count_distinct("student").alias("n")).collect()
-    quotas = {row["valid"]: {q["nth"]: q["sample_size"] for q in
-                             s.quota_sizes(props, "nth", "prop", F.lit(row["n"])).collect()} for row in sizes}
+    parts = [s.quota_sizes(props, "nth", "prop", F.lit(row["n"])).withColumn("valid", F.lit(row["valid"])) for row in sizes]
+    quotas = {row["valid"]: {} for row in sizes}
+    for row in append(parts).collect():
+        quotas[row["valid"]][row["nth"]] = row["sample_size"]
     return att, s.truncation_sample(att, quotas, "student", "nth", "valid", 12345)
 
 

@@ -112,26 +112,122 @@ def concurrent_difficulty(df: DataFrame, terms: Column) -> DataFrame:
 
 
 def cluster_history(target: DataFrame, history: DataFrame) -> DataFrame:
-    """For every target row: earlier credit-weighted grade by source cluster, named ``{source}_{target}``.
-
-    One window over the terms of a student carries the running totals of all source clusters.
-    """
-    src = history.withColumn("cluster", subject_cluster(F.col("subject")))
-    sums = {}
-    for c in CLUSTERS:
-        sums |= {f"__w_{c}": F.when(F.col("cluster") == c, F.col("w")), f"__p_{c}": F.when(F.col("cluster") == c, F.col("wp"))}
-    per = src.withColumns(sums)
-    found = totals_before(target, per, ["student"], "strm", {n: n for n in sums})
-    mine = subject_cluster(F.col("subject"))
+    """Pair features ``{source}_{target}`` and ``{source}_{target}_grade``: earlier grades by source cluster,
+    placed under the target row's own cluster and 0 elsewhere."""
+    found = cluster_totals(target, history)
     out = {}
     for c in CLUSTERS:
-        grade = ratio(F.col(f"__p_{c}"), F.col(f"__w_{c}"))
         for t in CLUSTERS:
-            out[f"{c}_{t}"] = flag((mine == t) & grade.isNotNull())
-            out[f"{c}_{t}_grade"] = F.when(mine == t, zero(grade)).otherwise(F.lit(0.0))
+            mine = F.col("cluster") == t
+            out[f"{c}_{t}"] = F.when(mine, F.col(c)).otherwise(0)
+            out[f"{c}_{t}_grade"] = F.when(mine, F.col(f"{c}_grade")).otherwise(F.lit(0.0))
     return found.select(*target.columns, *[v.alias(k) for k, v in out.items()])
 
 
 def section_size(df: DataFrame) -> DataFrame:
     """Rows with the number of students of their section."""
     return with_group_values(df, ["strm", "college", "subject", "course_num", "section"], size=F.count(F.lit(1)))
+
+
+SECTION = ["student", "strm", "college", "course", "section"]
+
+
+def eligible_enrolments(df: DataFrame) -> DataFrame:
+    """Rows with credit and a usable grade, credit summed to one row per student and section."""
+    grade = F.when(F.col("grade") == "(D)", "D").when(F.col("grade") == "WC", "W").otherwise(F.col("grade"))
+    rows = with_course(df).select(*SECTION, "credit", grade.alias("grade")).distinct().where("credit <> 0")
+    usable = ~in_list(F.col("grade"), ["", "I", "P", "R", "S", "U", "X", "XY", "XN"])
+    return rows.where(usable).groupBy(*SECTION).agg(F.min("grade").alias("grade"), F.sum("credit").alias("credit"))
+
+
+def section_predictors(df: DataFrame) -> DataFrame:
+    """Section size, evening, online and second-year flags of college-level sections."""
+    rows = fill_grades(df).where("credit <> 0").where(is_college_level(F.col("course_num")))
+    keys = ["student", "college", "strm", "subject", "course_num", "section"]
+    rows = section_size(rows.groupBy(*keys).agg(F.max("day_eve_code").alias("code")))
+    return with_course(rows).select(
+        *SECTION, "size", flag(F.col("code") == "E").alias("eve_ind"), flag(F.col("code") == "O").alias("online_ind"),
+        flag(F.substring("course_num", 1, 1) == "2").alias("lvl2_ind"))
+
+
+def course_records(df: DataFrame) -> DataFrame:
+    """Grade-filled, aggregated courses with the credits earned before the term."""
+    filled = fill_grades(df)
+    courses = aggregate_courses(filled)
+    courses = with_group_values(courses, ["student", "strm"], term_credits_attempted=F.sum("adj_credit"))
+    return with_course(courses.join(cumulative_credits(filled), ["student", "strm"], "left"))
+
+
+def instructor_table(sections: DataFrame, tenure_after: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(full-time flag per section, tenure per instructor x college x term).
+
+    ``sections``: strm, college, course, section, faculty_code, instructor. The lowest faculty code
+    stands for a section taught by several; tenure counts from the first term at the college.
+    """
+    keys = ["strm", "college", "course", "section"]
+    one = pick(sections.select(*keys, "faculty_code", "instructor"), keys, [F.col("faculty_code"), F.col("instructor")])
+    full_time = one.select(*keys, flag(F.col("faculty_code") == 1).alias("full_time"))
+    first = sections.groupBy("instructor", "college").agg(F.min("strm").alias("first_strm"))
+    teaching = one.where("instructor is not null").select("instructor", *keys)
+    tenure = teaching.join(first, ["instructor", "college"]).select(
+        "instructor", *keys, flag(F.col("strm") - F.col("first_strm") >= tenure_after).alias("tenure"))
+    return full_time, tenure
+
+
+def past_average_grade(df: DataFrame, sections: DataFrame) -> DataFrame:
+    """For each instructor x college x course x term: mean class average of the sections taught earlier.
+
+    ``sections``: instructor, college, course, strm, section.
+    """
+    filled = with_course(graded(fill_grades(df)))
+    est = filled.groupBy("student", "strm", "course").agg(F.sum("w").alias("w"), F.sum("wp").alias("wp")).where("w > 0")
+    est = est.select("student", "strm", "course", ratio(F.col("wp"), F.col("w")).alias("est"))
+    where = filled.select("student", "strm", "college", "course").distinct()
+    classes = where.join(est, ["student", "strm", "course"]).groupBy("strm", "college", "course").agg(F.avg("est").alias("avg_grade"))
+    keys = ["instructor", "college", "course"]
+    taught = sections.select(*keys, "strm", "section").distinct()
+    valued = taught.join(classes, ["strm", "college", "course"], "left").withColumn("known", flag(F.col("avg_grade").isNotNull()))
+    target = taught.select(*keys, "strm").distinct()
+    before = totals_before(target, valued, keys, "strm", {"s": "avg_grade", "k": "known"})
+    past = ratio(F.col("s"), F.col("k"))
+    return before.select(*keys, "strm", flag(past.isNotNull()).alias("has_past_avg_grade"), zero(past).alias("past_avg_grade"))
+
+
+def cluster_totals(target: DataFrame, history: DataFrame) -> DataFrame:
+    """For every target row: own cluster, and earlier grade in each source cluster (0 with flag 0 if none).
+
+    One window over the terms of a student carries the running totals of all source clusters.
+    """
+    sums = {}
+    src = history.withColumn("cluster", subject_cluster(F.col("subject")))
+    for c in CLUSTERS:
+        sums |= {f"__w_{c}": F.when(F.col("cluster") == c, F.col("w")), f"__p_{c}": F.when(F.col("cluster") == c, F.col("wp"))}
+    found = totals_before(target, src.withColumns(sums), ["student"], "strm", {n: n for n in sums})
+    out = {}
+    for c in CLUSTERS:
+        grade = ratio(F.col(f"__p_{c}"), F.col(f"__w_{c}"))
+        out |= {f"{c}": flag(grade.isNotNull()), f"{c}_grade": zero(grade)}
+    return found.select(*target.columns, subject_cluster(F.col("subject")).alias("cluster"), *[v.alias(k) for k, v in out.items()])
+
+
+def term_shares(df: DataFrame) -> DataFrame:
+    """Developmental flag and credit shares of second-year, evening and online courses per student-term."""
+    keys = ["student", "strm", "college", "subject", "course_num"]
+    rows = df.where("credit <> 0").select(*keys, "credit", "day_eve_code").distinct()
+    code = mode_by(rows, keys, "day_eve_code", "max")
+    lvl2 = (F.length("course_num") == 3) & (F.substring("course_num", 1, 1) == "2")
+    per = rows.groupBy(*keys).agg(F.sum("credit").alias("credit")).join(code, keys)
+    c = F.col("credit")
+    return per.groupBy("student", "strm").agg(
+        F.max(flag(F.length("course_num") < 3)).alias("dev"), share_of(c, lvl2).alias("lvl2_share"),
+        share_of(c, F.col("day_eve_code") == "E").alias("eve_share"), share_of(c, F.col("day_eve_code") == "O").alias("online_share"))
+
+
+def training_rows(eligible: DataFrame, blocks, colleges, baseline: str, valid_from: int) -> DataFrame:
+    """Course-level training table: outcome, feature blocks, one-hot college, time split."""
+    from cohortlens.operators.joins import assemble
+    from cohortlens.operators.rows import one_hot
+
+    base = eligible.select(*SECTION, flag(F.col("grade").isin(g.PASSED_WELL)).alias("passed"))
+    wide = one_hot(assemble(base, blocks, SECTION, "inner"), "college", colleges, baseline)
+    return wide.withColumn("valid", flag(F.col("strm") >= valid_from))
