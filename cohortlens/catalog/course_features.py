@@ -172,7 +172,7 @@ FROM el LEFT JOIN pr USING (student, strm, college, course, section) LEFT JOIN r
 def prerequisite_and_repeat(r):
     target = c.eligible_enrolments(r.enrolment).select(*c.SECTION)
     history = c.graded(keyed(r)).where("w > 0")
-    return c.repeat_grades(c.prerequisite_grades(target, history, r.prerequisites), history)
+    return c.prior_grades(target, history, r.prerequisites)
 
 
 @query("l28_concurrent_difficulty", f"""

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog.registry import query
 from cohortlens.operators import joins as j
 from cohortlens.operators.reshape import calendar
-from cohortlens.functions.nulls import ratio
-from cohortlens.plans.courses import aggregate_courses, graded, trailing_grades
+from cohortlens.plans.courses import graded, trailing_grades
 
 
 @query("c01_inner_join", """
@@ -124,11 +123,11 @@ SELECT t.student, t.strm, t.course, (sum(h.credit) IS NOT NULL)::INT AS has_prer
 FROM t LEFT JOIN prereq_v p ON p.course=t.course LEFT JOIN h ON h.student=t.student AND h.course=p.prereq AND h.strm < t.strm GROUP BY ALL
 """)
 def prerequisite_join(r):
-    from cohortlens.plans.courses import prerequisite_grades
+    from cohortlens.plans.courses import prior_grades
 
     e = r.enrolment.withColumn("course", F.concat_ws("_", "subject", "course_num"))
     target = e.select("student", "strm", "course").distinct()
-    return prerequisite_grades(target, graded(e).where("w > 0"), r.prerequisites)
+    return prior_grades(target, graded(e).where("w > 0"), r.prerequisites).drop("has_repeat_grade", "repeat_grade")
 
 
 @query("c13_taught_before", """
@@ -140,7 +139,7 @@ FROM t LEFT JOIN s ON s.instructor=t.instructor AND s.college=t.college AND s.co
 def taught_before(r):
     keys = ["instructor", "college", "course"]
     s = r.enrolment.withColumn("course", F.concat_ws("_", "subject", "course_num")).select(*keys, "strm", "section").distinct()
-    before = j.totals_before(s.select(*keys, "strm").distinct(), s.withColumn("one", F.lit(1)), keys, "strm", {"sections_before": "one"})
+    before = j.own_totals_before(s.withColumn("one", F.lit(1)), keys, "strm", {"sections_before": "one"})
     return before.select(*keys, "strm", F.coalesce("sections_before", F.lit(0)).alias("sections_before"))
 
 

@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.functions.nulls import ratio
 from cohortlens.sources.contracts import assert_unique
 
 
@@ -78,27 +77,29 @@ def spells_to_terms(spells: DataFrame, begin: str = "begin_date", end: str = "en
 def totals_before(target: DataFrame, history: DataFrame, keys, time: str, sums: dict) -> DataFrame:
     """For each (keys, time) of ``target``, totals of ``history`` rows of the same keys with an earlier time.
 
-    History is first summed per (keys, time), then one window over the few distinct times of each key
-    adds up what came before: no pairs of rows are formed. ``sums`` maps output names to columns of
+    Both sides are stacked and summed per (keys, time), then one window over the few distinct times of each
+    key adds up what came before: no pairs of rows are formed. ``sums`` maps output names to columns of
     ``history``; a missing output means there was no earlier row.
     """
     keys = list(keys)
-    hist = history.groupBy(*keys, time).agg(*[F.sum(c).alias(n) for n, c in sums.items()],
-                                            F.count(F.lit(1)).alias("__rows"))
-    wanted = target.select(*keys, time).distinct().withColumn("__wanted", F.lit(1))
-    grid = hist.join(wanted, [*keys, time], "full_outer")
+    past = history.select(*keys, time, *[F.col(c).cast("double").alias(n) for n, c in sums.items()],
+                          F.lit(1).alias("__rows"), F.lit(0).alias("__wanted"))
+    asked = target.select(*keys, time, *[F.lit(None).cast("double").alias(n) for n in sums],
+                          F.lit(None).cast("int").alias("__rows"), F.lit(1).alias("__wanted"))
+    grid = past.unionByName(asked).groupBy(*keys, time).agg(
+        *[F.sum(n).alias(n) for n in sums], F.sum("__rows").alias("__rows"), F.max("__wanted").alias("__wanted"))
     before = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     totals = grid.select(*keys, time, "__wanted", *[F.sum(n).over(before).alias(n) for n in sums],
-                         F.sum("__rows").over(before).alias("__n_before"))
-    totals = totals.where("__wanted = 1").drop("__wanted")
-    return target.join(totals, [*keys, time], "left").withColumnRenamed("__n_before", "rows_before")
+                         F.sum("__rows").over(before).alias("rows_before")).where("__wanted = 1").drop("__wanted")
+    return target.join(totals, [*keys, time], "left")
 
 
-def mean_before(target, history, keys, time, value: Column, weight: Column, out: str) -> DataFrame:
-    """Weighted mean of earlier history rows of the same keys."""
-    h = history.withColumns({"__w": weight, "__xw": value * weight})
-    df = totals_before(target, h, keys, time, {"__sw": "__w", "__sxw": "__xw"})
-    return df.withColumn(out, ratio(F.col("__sxw"), F.col("__sw"))).drop("__sw", "__sxw")
+def own_totals_before(history: DataFrame, keys, time: str, sums: dict) -> DataFrame:
+    """As :func:`totals_before` where every (keys, time) of the history is itself a target; no join back."""
+    keys = list(keys)
+    per = history.groupBy(*keys, time).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(*keys, time, *[F.sum(n).over(before).alias(n) for n in sums])
 
 
 def skeleton(ids: DataFrame, terms: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from cohortlens.functions.nulls import flag, in_list, is_true, ratio, text, zero
 from cohortlens.functions.terms import season
 from cohortlens.operators import windows as w
 from cohortlens.operators.aggs import pick, share_of, total, total_if, with_group_values, mode_by
-from cohortlens.operators.joins import lookup_fallback, totals_before
+from cohortlens.operators.joins import lookup_fallback, own_totals_before, totals_before
 
 
 def with_course(df: DataFrame) -> DataFrame:
@@ -33,14 +33,22 @@ def trailing_grades(graded_rows: DataFrame, terms: Column) -> tuple[DataFrame, D
 
 def fill_grades(df: DataFrame) -> DataFrame:
     """A missing grade takes the only known grade of the same course taken by the student in the term,
-    first within the college, then across colleges; lone rows without credit and grade are dropped."""
+    first within the college, then across colleges; lone rows without credit and grade are dropped.
+
+    Filling within a college adds no new grade to the course, so the second rule can read its range from
+    the per-college ranges: one aggregate and one join serve both.
+    """
     df = df.withColumn("course_num", clean_course_number(F.col("course_num")))
-    narrow = ["student", "college", "strm", "subject", "course_num"]
-    df = with_group_values(df, narrow, __lo=F.min("grade"), __hi=F.max("grade"), __n=F.count(F.lit(1)))
+    wide = ["student", "strm", "subject", "course_num"]
+    narrow = [*wide, "college"]
+    ranges = df.groupBy(*narrow).agg(F.min("grade").alias("__lo"), F.max("grade").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    colleges = Window.partitionBy(*wide)
+    ranges = ranges.withColumns({"__wlo": F.min("__lo").over(colleges), "__whi": F.max("__hi").over(colleges)})
     only = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo"))
-    df = df.withColumn("grade", F.coalesce("grade", only))
-    df = df.where(~((F.col("credit") == 0) & (F.col("__n") == 1) & F.col("grade").isNull())).drop("__lo", "__hi", "__n")
-    return w.fill_if_unique(df, [k for k in narrow if k != "college"], "grade")
+    anywhere = F.when(F.col("__wlo") == F.col("__whi"), F.col("__wlo"))
+    rows = df.join(ranges, narrow).withColumn("grade", F.coalesce("grade", only))
+    rows = rows.where(~((F.col("credit") == 0) & (F.col("__n") == 1) & F.col("grade").isNull()))
+    return rows.withColumn("grade", F.coalesce("grade", anywhere)).select(*df.columns)
 
 
 def aggregate_courses(df: DataFrame, seed=1234) -> DataFrame:
@@ -48,6 +56,7 @@ def aggregate_courses(df: DataFrame, seed=1234) -> DataFrame:
     keys = ["student", "strm", "subject", "course_num"]
     grade, credit = F.col("grade"), F.col("credit")
     numeric = is_true(F.col("course_num").rlike("^([0-9]{3}|[0-9]{3}L|[0-9]{4}L)$"))
+    level = is_college_level(F.col("course_num"))
     rows = df.withColumns({
         "eff": graded_credit(credit, grade), "pts": course_points(grade),
         "eff2": credit_if(credit, numeric & in_list(grade, g.COUNTED)),
@@ -60,35 +69,44 @@ def aggregate_courses(df: DataFrame, seed=1234) -> DataFrame:
         ratio(F.sum(F.col("eff") * F.col("pts")), F.sum("eff")).alias("est_grade"),
         F.sum("new").alias("credit"), F.sum("adj").alias("adj_credit"),
         F.sum("eff2").alias("gpa_credit"), F.sum(F.col("eff2") * F.col("pts")).alias("gpa_points"),
-        F.min(flag(grade == "W")).alias("withdrawn"))
-
-
-def cumulative_credits(df: DataFrame) -> DataFrame:
-    """Per student-term: college-level credits earned before the term."""
-    level = is_college_level(F.col("course_num"))
-    passed = ~in_list(F.col("grade"), g.NOT_PASSED)
-    per = df.groupBy("student", "strm").agg(
-        total_if(F.col("credit"), level & passed).alias("earned"), total_if(F.col("credit"), level).alias("attempted"))
-    before = zero(F.sum("earned").over(w.earlier("student")))
-    last = zero(w.lag_term("attempted", 1, "student") - w.lag_term("earned", 1, "student"))
-    return per.select("student", "strm", before.cast("double").alias("cum_earned"),
-                      (before + last).cast("double").alias("cum_expected"))
+        F.min(flag(grade == "W")).alias("withdrawn"),
+        total_if(credit, level).cast("double").alias("level_attempted"),
+        total_if(credit, level & ~in_list(grade, g.NOT_PASSED)).cast("double").alias("level_earned"))
+
+
+def with_cumulative_credits(courses: DataFrame) -> DataFrame:
+    """Adds the term's attempted credit and the college-level credit earned before the term (as earned, and
+    with the last term counted as attempted). ``courses`` has one row per student x term x course, so a
+    student's partition is bounded by calendar and catalogue."""
+    student = Window.partitionBy("student").orderBy("strm")
+    before = student.rangeBetween(Window.unboundedPreceding, -1)
+    term = student.rangeBetween(0, 0)
+    rows = courses.withColumns({
+        "term_credits_attempted": F.sum("adj_credit").over(term),
+        "__gap": F.sum(F.col("level_attempted") - F.col("level_earned")).over(term),
+        "cum_earned": zero(F.sum("level_earned").over(before)),
+    })
+    last_gap = zero(F.last("__gap").over(before))
+    return rows.withColumn("cum_expected", F.col("cum_earned") + last_gap).drop("__gap", "level_attempted", "level_earned")
 
 
-def prerequisite_grades(target: DataFrame, history: DataFrame, prereqs: DataFrame) -> DataFrame:
-    """Credit-weighted grade over earlier terms in any prerequisite of the target course.
+def prior_grades(target: DataFrame, history: DataFrame, prereqs: DataFrame) -> DataFrame:
+    """Credit-weighted grade over earlier terms in any prerequisite of the target course, and over earlier
+    attempts of the course itself.
 
-    Each target row is spread over the prerequisites of its course and looks up the running totals of
-    that (student, course), so no history pairs are formed.
+    Each target row is spread over the courses it asks about and looks up the running totals of that
+    (student, course), so no history pairs are formed.
     """
     keys = target.columns
-    wanted = target.join(prereqs, "course").withColumnRenamed("course", "__course").withColumnRenamed("prereq", "course")
-    found = totals_before(wanted, history, ["student", "course"], "strm", {"__w": "w", "__wp": "wp"})
-    per = found.groupBy(*[F.col("__course").alias("course") if k == "course" else F.col(k) for k in keys]).agg(
-        F.sum("__w").alias("__w"), F.sum("__wp").alias("__wp"))
-    return target.join(per, keys, "left").select(
-        *keys, flag(F.col("__w").isNotNull()).alias("has_prereq_grade"),
-        zero(ratio(F.col("__wp"), F.col("__w"))).alias("prereq_grade"))
+    own = target.select(*keys, F.col("course").alias("__asked"), F.lit(1).alias("__own"))
+    needed = target.join(prereqs, "course").select(*keys, F.col("prereq").alias("__asked"), F.lit(0).alias("__own"))
+    asked = own.unionByName(needed).withColumnsRenamed({"course": "__course", "__asked": "course"})
+    found = totals_before(asked, history, ["student", "course"], "strm", {"__w": "w", "__wp": "wp"})
+    mean = lambda own_: ratio(F.sum(F.when(F.col("__own") == own_, F.col("__wp"))), F.sum(F.when(F.col("__own") == own_, F.col("__w"))))
+    by = [F.col("__course").alias("course") if k == "course" else F.col(k) for k in keys]
+    return found.groupBy(*by).agg(mean(0).alias("__p"), mean(1).alias("__r")).select(
+        *keys, flag(F.col("__p").isNotNull()).alias("has_prereq_grade"), zero(F.col("__p")).alias("prereq_grade"),
+        flag(F.col("__r").isNotNull()).alias("has_repeat_grade"), zero(F.col("__r")).alias("repeat_grade"))
 
 
 def repeat_grades(target: DataFrame, history: DataFrame) -> DataFrame:
@@ -152,10 +170,7 @@ def section_predictors(df: DataFrame) -> DataFrame:
 
 def course_records(df: DataFrame) -> DataFrame:
     """Grade-filled, aggregated courses with the credits earned before the term."""
-    filled = fill_grades(df)
-    courses = aggregate_courses(filled)
-    courses = with_group_values(courses, ["student", "strm"], term_credits_attempted=F.sum("adj_credit"))
-    return with_course(courses.join(cumulative_credits(filled), ["student", "strm"], "left"))
+    return with_course(with_cumulative_credits(aggregate_courses(fill_grades(df))))
 
 
 def instructor_table(sections: DataFrame, tenure_after: int = 60) -> tuple[DataFrame, DataFrame]:
@@ -179,16 +194,16 @@ def past_average_grade(df: DataFrame, sections: DataFrame) -> DataFrame:
 
     ``sections``: instructor, college, course, strm, section.
     """
-    filled = with_course(graded(fill_grades(df)))
-    est = filled.groupBy("student", "strm", "course").agg(F.sum("w").alias("w"), F.sum("wp").alias("wp")).where("w > 0")
-    est = est.select("student", "strm", "course", ratio(F.col("wp"), F.col("w")).alias("est"))
-    where = filled.select("student", "strm", "college", "course").distinct()
-    classes = where.join(est, ["student", "strm", "course"]).groupBy("strm", "college", "course").agg(F.avg("est").alias("avg_grade"))
+    seats = with_course(graded(fill_grades(df))).groupBy("student", "strm", "course", "college").agg(
+        F.sum("w").alias("w"), F.sum("wp").alias("wp"))
+    colleges = Window.partitionBy("student", "strm", "course")
+    est = ratio(F.sum("wp").over(colleges), F.sum("w").over(colleges))
+    classes = seats.select("strm", "college", "course", est.alias("est")).groupBy("strm", "college", "course").agg(
+        F.avg("est").alias("avg_grade"))
     keys = ["instructor", "college", "course"]
     taught = sections.select(*keys, "strm", "section").distinct()
     valued = taught.join(classes, ["strm", "college", "course"], "left").withColumn("known", flag(F.col("avg_grade").isNotNull()))
-    target = taught.select(*keys, "strm").distinct()
-    before = totals_before(target, valued, keys, "strm", {"s": "avg_grade", "k": "known"})
+    before = own_totals_before(valued, keys, "strm", {"s": "avg_grade", "k": "known"})
     past = ratio(F.col("s"), F.col("k"))
     return before.select(*keys, "strm", flag(past.isNotNull()).alias("has_past_avg_grade"), zero(past).alias("past_avg_grade"))
 

@@ -1,6 +1,6 @@
 """Student-level feature jobs (one row per student, or student x term before the last fold)."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions import grades as g
 from cohortlens.functions.codes import DEGREE_LEVELS, degree_rank, missing_code, seeded_key
@@ -67,24 +67,26 @@ def term_record(classes: DataFrame, gpa_credits: DataFrame) -> DataFrame:
     """
     from cohortlens.plans.courses import fill_grades
 
-    rows = fill_grades(classes)
-    grade = F.col("grade")
-    rows = rows.withColumn("credit", audit_halved(F.col("credit"), grade))
-    rows = rows.withColumn("eff", effective_credit(F.col("credit"), grade)).join(gpa_credits, ["student", "strm"], "left")
-    rows = rows.withColumn("term_cred_gpa", zero(F.col("term_cred_gpa")))
-    rows = rescale_to_total(rows, ["student", "strm"], "credit", "term_cred_gpa", "scaled")
-    c, num, attempted = F.col("scaled"), F.col("course_num"), ~in_list(grade, g.NOT_ATTEMPTED)
-    per = rows.groupBy("student", "strm").agg(
-        F.greatest(F.sum("credit"), F.max("term_cred_gpa")).cast("double").alias("term_cred_att"),
-        total_if(c, grade == "W").cast("double").alias("term_withdrawn"),
-        total_if(c, in_list(grade, g.EARNED)).cast("double").alias("term_cred_earn"),
-        total_if(c, attempted).cast("double").alias("term_cred_att_2"),
-        total_if(c, g.is_second_year(num) & attempted).cast("double").alias("term_lvl2_att"),
-        total_if(c, g.is_developmental(num) & attempted).cast("double").alias("term_dev_att"),
-        ratio(F.sum(F.col("eff") * points(grade)), F.sum("eff")).alias("term_gpa"),
+    grade, num = F.col("grade"), F.col("course_num")
+    rows = fill_grades(classes).withColumn("credit", audit_halved(F.col("credit"), grade))
+    c, attempted, eff = F.col("credit"), ~in_list(grade, g.NOT_ATTEMPTED), effective_credit(F.col("credit"), grade)
+    sums = {"credit": F.sum(c), "term_withdrawn": total_if(c, grade == "W"), "term_cred_earn": total_if(c, in_list(grade, g.EARNED)),
+            "term_cred_att_2": total_if(c, attempted), "term_lvl2_att": total_if(c, g.is_second_year(num) & attempted),
+            "term_dev_att": total_if(c, g.is_developmental(num) & attempted),
+            "eff": F.sum(eff), "points": F.sum(eff * points(grade))}
+    # The scale factor is one number per student-term, so it is applied to sums, not to rows.
+    per = rows.groupBy("student", "strm", "college").agg(*[v.cast("double").alias(k) for k, v in sums.items()])
+    colleges = Window.partitionBy("student", "strm")
+    per = per.join(gpa_credits, ["student", "strm"], "left").withColumn("wanted", zero(F.col("term_cred_gpa")).cast("double"))
+    short = F.sum("credit").over(colleges)
+    per = per.withColumn("factor", F.when(short < F.col("wanted"), F.coalesce(ratio(F.col("wanted"), short), F.lit(1.0))).otherwise(1.0))
+    scaled = ["term_withdrawn", "term_cred_earn", "term_cred_att_2", "term_lvl2_att", "term_dev_att"]
+    terms = per.groupBy("student", "strm").agg(
+        F.greatest(F.sum("credit"), F.max("wanted")).alias("term_cred_att"),
+        *[F.sum(F.col(s) * F.col("factor")).alias(s) for s in scaled], ratio(F.sum("points"), F.sum("eff")).alias("term_gpa"),
     ).where("term_cred_att > 0")
-    mix = min_entropy(rows, "student", "college", "scaled", "college_entropy")
-    return per.join(mix, "student", "left")
+    mix = min_entropy(per.withColumn("scaled", F.col("credit") * F.col("factor")), "student", "college", "scaled", "college_entropy")
+    return terms.join(mix, "student", "left")
 
 
 def program_record(snaps: DataFrame, enrolled: DataFrame, seed=1234) -> DataFrame:
