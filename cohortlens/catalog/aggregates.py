@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog.registry import query
 from cohortlens.functions.codes import GROUPS
-from cohortlens.functions.nulls import flag, ratio
 from cohortlens.operators import aggs as a
 from cohortlens.operators import rows as o
 from cohortlens.plans.aid import allocate_terms, term_aid

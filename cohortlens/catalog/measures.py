@@ -150,8 +150,8 @@ def score_bias(r):
 
 @query("m16_z_tests", f"""
 WITH g AS (SELECT grp, count(*) AS n, avg(y) AS p, avg(score) AS mean, var_pop(score) AS v FROM scores_v GROUP BY grp),
-z AS (SELECT a.grp AS grp_1, b.grp AS grp_2, {z_prop("a.n", "a.p", "b.n", "b.p")} AS z_prop,
-  {z_mean("a.n", "a.mean", "a.v", "b.n", "b.mean", "b.v")} AS z_mean FROM g a JOIN g b ON a.grp < b.grp)
+z AS (SELECT b.grp, {z_prop("a.n", "a.p", "b.n", "b.p")} AS z_prop, {z_mean("a.n", "a.mean", "a.v", "b.n", "b.mean", "b.v")} AS z_mean
+  FROM g a JOIN g b ON a.grp = 'white' AND b.grp <> 'white')
 SELECT *, {p_sql("z_prop")} AS p_prop, {p_sql("z_mean")} AS p_mean FROM z
 """)
 def z_tests(r):
@@ -159,12 +159,11 @@ def z_tests(r):
 
     g = r.scores.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("p"), F.avg("score").alias("mean"),
                                     F.var_pop("score").alias("v"))
-    a, b = g.alias("a"), g.alias("b")
-    c = F.col
-    z = a.join(b, c("a.grp") < c("b.grp")).select(
-        c("a.grp").alias("grp_1"), c("b.grp").alias("grp_2"),
-        z_proportions(c("a.n"), c("a.p"), c("b.n"), c("b.p")).alias("z_prop"),
-        z_means(c("a.n"), c("a.mean"), c("a.v"), c("b.n"), c("b.mean"), c("b.v")).alias("z_mean"))
+    ref = g.where(F.col("grp") == m.REFERENCE).select(F.struct("n", "p", "mean", "v")).scalar()
+    c, a = F.col, lambda k: F.col("ref")[k]
+    z = g.where(F.col("grp") != m.REFERENCE).withColumn("ref", ref).select(
+        "grp", z_proportions(a("n"), a("p"), c("n"), c("p")).alias("z_prop"),
+        z_means(a("n"), a("mean"), a("v"), c("n"), c("mean"), c("v")).alias("z_mean"))
     return z.withColumns({"p_prop": two_sided_p(c("z_prop")), "p_mean": two_sided_p(c("z_mean"))})
 
 
@@ -221,8 +220,6 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cut ORDER BY j
 SELECT s.*, b.j::BIGINT AS added, b.nn1, b.nn2, b.pp1, b.pp2 FROM sizes s LEFT JOIN best b USING (cut)"""
 
 
-BELOW_Q = """counts AS (SELECT c.cut, grp, sum(CASE WHEN x < c.q THEN 1 ELSE 0 END)::BIGINT AS n, avg(CASE WHEN x < c.q THEN y END) AS p
-  FROM src, (SELECT cut, (SELECT quantile_cont(x, cut) FROM src) AS q FROM cuts) c WHERE grp IN ('white','afam') GROUP BY c.cut, grp)"""
 BELOW_Q = """qs AS (SELECT {qs}), q AS ({rows}),
 counts AS (SELECT q.cut, grp, sum(CASE WHEN x < q.v THEN 1 ELSE 0 END)::BIGINT AS n, avg(CASE WHEN x < q.v THEN y END) AS p
   FROM src, q WHERE grp IN ('white','afam') GROUP BY q.cut, grp)""".format(
@@ -316,8 +313,7 @@ def calibration_summary(r):
 
 
 @query("m27_rank_cut", """
-WITH s AS (SELECT id, grp, y, balance FROM scores_v JOIN orders ON id=o_orderkey JOIN student_v USING (grp) WHERE false),
-b AS (SELECT q.id, q.grp, q.y, v.balance FROM scores_v q JOIN orders o ON q.id=o.o_orderkey JOIN student_v v ON v.student=o.o_custkey),
+WITH b AS (SELECT q.id, q.grp, q.y, v.balance FROM scores_v q JOIN orders o ON q.id=o.o_orderkey JOIN student_v v ON v.student=o.o_custkey),
 rk AS (SELECT *, row_number() OVER (ORDER BY balance, md5(concat_ws('#', id, '0')), id) AS rnk, count(*) OVER () AS size FROM b)
 SELECT grp, count(*) AS n, avg(y) AS rate, max(rnk)::BIGINT AS last_rank FROM rk WHERE rnk <= floor(size*0.33::DOUBLE) GROUP BY grp
 """)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog.registry import query
 from cohortlens.catalog.windows import PER_TERM, SNAP, per_term, snap
-from cohortlens.functions.codes import CLUSTERS, GROUPS, subject_cluster
+from cohortlens.functions.codes import CLUSTERS, subject_cluster
 from cohortlens.functions.terms import SLOTS
 from cohortlens.operators import aggs as a
 from cohortlens.operators import reshape as s
@@ -77,9 +77,9 @@ def cluster_columns(r):
     return s.widen(e, "student", "cluster", ["credit"], CLUSTERS, agg=F.sum, fill=0)
 
 
-@query("g01_order_by", "SELECT student, strm, source, row_number() OVER (ORDER BY student, strm, source) AS position FROM snapshot_v ORDER BY position")
+@query("g01_order_by", "SELECT student, strm, source FROM snapshot_v ORDER BY student, strm, source")
 def order_by(r):
-    return top.ordered(r.snapshots.select("student", "strm", "source"), ["student", "strm", "source"], "position")
+    return top.ordered(r.snapshots.select("student", "strm", "source"), ["student", "strm", "source"])
 
 
 @query("g02_top_categories", "SELECT course, n FROM (SELECT subject || '_' || course_num AS course, count(*) AS n FROM enrolment_v GROUP BY 1) WHERE course <> 'ECO_1' ORDER BY n DESC, course LIMIT 15")

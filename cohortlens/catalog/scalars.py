@@ -7,7 +7,6 @@ from cohortlens.catalog.sql_parts import p_sql
 from cohortlens.functions import codes, grades as g, terms as t
 from cohortlens.functions.nulls import flag
 from cohortlens.functions.stats import normal_cdf
-from cohortlens.operators import aggs as a
 
 KEY = "student, strm, college, subject, course_num, section"
 KEYS = KEY.split(", ")
@@ -83,7 +82,7 @@ def log1p(r):
 
 
 @query("i09_arithmetic", """
-SELECT source, floor(distance) AS f, ceil(distance) AS c, trunc(distance) AS i, total_credit_hrs % 5 AS m, sqrt(distance) AS s, abs(distance-50) AS a, pow(distance,2) AS p,
+SELECT source, floor(distance)::BIGINT AS f, ceil(distance)::BIGINT AS c, trunc(distance)::BIGINT AS i, total_credit_hrs % 5 AS m, sqrt(distance) AS s, abs(distance-50) AS a, pow(distance,2) AS p,
  round_even(total_credit_hrs/8.0::DOUBLE, 1) AS half_even, round(total_credit_hrs/8.0::DOUBLE, 1) AS half_up FROM snapshot_v
 """)
 def arithmetic(r):

@@ -6,7 +6,6 @@ from cohortlens.catalog.aggregates import AID_TERMS
 from cohortlens.catalog.course_features import ATTEMPT, EARN, FILLED, PTS
 from cohortlens.catalog.joins import SPELL_TERMS
 from cohortlens.catalog.registry import query
-from cohortlens.catalog.sampling import ATTENDED
 from cohortlens.catalog.sql_parts import p_sql
 from cohortlens.catalog.measures import OLS_SQL
 from cohortlens.functions.codes import GROUPS

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from cohortlens.catalog.registry import query
-from cohortlens.functions.nulls import flag
 from cohortlens.functions.terms import nth_term, term_at
 from cohortlens.operators import aggs as a
 from cohortlens.operators import ranking as k

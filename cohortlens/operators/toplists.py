@@ -1,26 +1,13 @@
 """Sorts, top lists and frequent categories."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.operators.aggs import _cols, freq
 
 
-def ordered(df: DataFrame, by, position: str | None = None) -> DataFrame:
-    """Totally ordered rows, with their position if asked for.
-
-    The position is counted without sorting everything in one task: rows per value of the leading key
-    are added up first, and only rows that share it are ordered together.
-    """
-    by = _cols(by)
-    if position is None:
-        return df.orderBy(*by)
-    lead = by[0]
-    from cohortlens.operators.ranking import cumulate
-
-    offsets = cumulate(df, [], lead).select(lead, (F.col("cum_n") - F.col("n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(lead).orderBy(*by[1:] or [lead]))
-    return df.join(offsets, lead).withColumn(position, (F.col("__before") + within).cast("bigint")).drop(
-        "__before").orderBy(*by)
+def ordered(df: DataFrame, by) -> DataFrame:
+    """Totally ordered rows: ranges of the whole key are sorted side by side, so a hot leading value is split."""
+    return df.orderBy(*_cols(by))
 
 
 def top_categories(df: DataFrame, col: str, k: int, exclude) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.functions.nulls import flag, ratio, zero
 from cohortlens.functions.terms import term_code
 from cohortlens.operators import windows as w
-from cohortlens.operators.aggs import total, with_group_values
+from cohortlens.operators.aggs import total
 from cohortlens.operators.joins import skeleton
 from cohortlens.operators.reshape import lengthen, year_buckets
 

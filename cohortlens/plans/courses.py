@@ -3,13 +3,12 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.codes import CLUSTERS, seeded_key, subject_cluster
-from cohortlens.functions.grades import (adjusted_credit, clean_course_number, course_points, credit_if, graded_credit,
-                                         is_college_level, points)
+from cohortlens.functions.grades import (adjusted_credit, clean_course_number, course_points, credit_if,
+                                         graded_credit, is_college_level)
 from cohortlens.functions import grades as g
-from cohortlens.functions.nulls import flag, in_list, is_true, ratio, text, zero
-from cohortlens.functions.terms import season
+from cohortlens.functions.nulls import flag, in_list, is_true, ratio, zero
 from cohortlens.operators import windows as w
-from cohortlens.operators.aggs import pick, share_of, total, total_if, with_group_values, mode_by
+from cohortlens.operators.aggs import pick, share_of, total_if, with_group_values, mode_by
 from cohortlens.operators.joins import lookup_fallback, own_totals_before, totals_before
 
 
@@ -24,10 +23,13 @@ def graded(df: DataFrame) -> DataFrame:
 
 
 def trailing_grades(graded_rows: DataFrame, terms: Column) -> tuple[DataFrame, DataFrame]:
-    """Credit-weighted average grade over the five years before each term, by course and by college."""
-    rows = graded_rows.where("w > 0")
-    fine = w.trailing_mean(rows, ["college", "course"], terms, "wp", "w")
-    coarse = w.trailing_mean(rows, "college", terms, "wp", "w")
+    """Credit-weighted average grade over the five years before each term, by course and by college.
+
+    Both start from the same sums per college x course x term, so they share that shuffle.
+    """
+    per = graded_rows.where("w > 0").groupBy("college", "course", "strm").agg(F.sum("wp").alias("wp"), F.sum("w").alias("w"))
+    fine = w.trailing_mean(per, ["college", "course"], terms, "wp", "w")
+    coarse = w.trailing_mean(per, "college", terms, "wp", "w")
     return fine, coarse.withColumnRenamed("avg_grade", "avg_grade_2")
 
 
@@ -41,11 +43,12 @@ def fill_grades(df: DataFrame) -> DataFrame:
     df = df.withColumn("course_num", clean_course_number(F.col("course_num")))
     wide = ["student", "strm", "subject", "course_num"]
     narrow = [*wide, "college"]
-    ranges = df.groupBy(*narrow).agg(F.min("grade").alias("__lo"), F.max("grade").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    mark = g.to_code(F.col("grade"))
+    ranges = df.groupBy(*narrow).agg(F.min(mark).alias("__lo"), F.max(mark).alias("__hi"), F.count(F.lit(1)).alias("__n"))
     colleges = Window.partitionBy(*wide)
     ranges = ranges.withColumns({"__wlo": F.min("__lo").over(colleges), "__whi": F.max("__hi").over(colleges)})
-    only = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo"))
-    anywhere = F.when(F.col("__wlo") == F.col("__whi"), F.col("__wlo"))
+    only = F.when(F.col("__lo") == F.col("__hi"), g.from_code(F.col("__lo")))
+    anywhere = F.when(F.col("__wlo") == F.col("__whi"), g.from_code(F.col("__wlo")))
     rows = df.join(ranges, narrow).withColumn("grade", F.coalesce("grade", only))
     rows = rows.where(~((F.col("credit") == 0) & (F.col("__n") == 1) & F.col("grade").isNull()))
     return rows.withColumn("grade", F.coalesce("grade", anywhere)).select(*df.columns)

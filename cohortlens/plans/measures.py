@@ -6,7 +6,6 @@ sorted in one task. Only cut points and thresholds (a handful of numbers) reach
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.functions.codes import GROUPS
 from cohortlens.functions.nulls import ratio
 from cohortlens.functions.stats import p_means, p_proportions, two_sided_p
 from cohortlens.operators.aggs import _cols
@@ -400,6 +399,3 @@ def pooled_segments(df: DataFrame, segment: str, train: Column) -> DataFrame:
         F.min("score").alias("threshold"))
     return df.where(~train).join(limits, segment)
 
-
-def groups_present() -> list[str]:
-    return list(GROUPS)

@@ -5,12 +5,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlens.functions import grades as g
 from cohortlens.functions.codes import DEGREE_LEVELS, degree_rank, missing_code, seeded_key
 from cohortlens.functions.grades import audit_halved, clean_course_number, effective_credit, points
-from cohortlens.functions.nulls import flag, in_list, is_true, ratio, text, zero
-from cohortlens.functions.terms import last_observed_term, nth_term, season, year_of
+from cohortlens.functions.nulls import flag, in_list, is_true, ratio, zero
+from cohortlens.functions.terms import last_observed_term, nth_term, year_of
 from cohortlens.operators import windows as w
-from cohortlens.operators.aggs import (latest_source, min_entropy, mode_by, multiple_mode, nvals, pick, rescale_to_total,
-                                       total, total_if, with_group_values)
-from cohortlens.operators.joins import totals_before
+from cohortlens.operators.aggs import latest_source, min_entropy, mode_by, pick, total, total_if
 
 
 def demographic_flags(snaps: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlens.functions import grades as g
 from cohortlens.functions.grades import adjusted_credit, effective_credit, points
 from cohortlens.functions.nulls import flag, in_list, ratio, zero
-from cohortlens.functions.terms import possible_main_terms, previous_term, season
+from cohortlens.functions.terms import possible_main_terms, season
 from cohortlens.operators import windows as w
-from cohortlens.operators.aggs import mean_of, share_of, total_if, with_group_values
+from cohortlens.operators.aggs import mean_of, total_if, with_group_values
 from cohortlens.operators.rows import has_and_zero
 
 
