@@ -5,8 +5,8 @@ classifiers. Each minimises ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``
 after the share of toxic documents, given by the class prior, is taken out, and it may not fall below zero. Documents that
 are labelled as harmless are never used as negatives.
 
-A document is the set of character n-grams and words that it contains. Counts over P and U pick those which occur in one of
-them significantly more often; a logistic model is fitted on these.
+A document is the set of character n-grams and words that it contains. Counts over P and U pick those which P has several
+times as often as U, by more than chance explains; a logistic model is fitted on these.
 
 Bounds: each of ``members`` classifiers is fitted in its own task on about ``positives`` + ``unlabelled`` documents, chosen
 by a hash of the id, and keeps ``features`` n-grams at most. So the model that all tasks get has a fixed size. Scoring reads
@@ -35,8 +35,8 @@ class Settings:
     positives: int = 1500
     unlabelled: int = 3000
     features: int = 2048
-    least_z: float = 4.0
-    least_docs: int = 3
+    least_lift: float = 2.0
+    least_gain: float = 12.0
     gram: int = 5
     steps: int = 400
     rate: float = 0.1
@@ -111,11 +111,12 @@ def fit_member(docs: pd.DataFrame, prior: float, settings: Settings) -> tuple[np
     n_p, n_u = positive.sum(), (~positive).sum()
     in_p = np.bincount(cols, weights=positive[rows], minlength=len(keys))
     in_u = np.bincount(cols, minlength=len(keys)) - in_p
-    both = (in_p + in_u + 1) / (n_p + n_u + 2)
-    z = (in_p / n_p - in_u / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    score = np.where(in_p + in_u >= settings.least_docs, np.abs(z), 0)
+    share_p, share_u = (in_p + 0.5) / (n_p + 1), (in_u + 1) / (n_u + 2)
+    # What P gains, in nats, from its own share of the documents that have a feature over that of U.
+    gain = n_p * (share_p * np.log(share_p / share_u) + (1 - share_p) * np.log((1 - share_p) / (1 - share_u)))
+    score = np.where(share_p >= settings.least_lift * share_u, gain, 0)
     kept = np.sort(np.argsort(-score, kind="stable")[: settings.features])
-    kept = kept[score[kept] >= settings.least_z]
+    kept = kept[score[kept] >= settings.least_gain]
     place = np.full(len(keys), -1)
     place[kept] = np.arange(len(kept))
     used = place[cols] >= 0

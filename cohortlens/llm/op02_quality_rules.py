@@ -20,8 +20,11 @@ from cohortlens.llm.common import SPACE_CLASS, SPACES, WORD_CLASS, fresh, stored
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Everything in ASCII that is no letter, without the apostrophe and the backslash.
+NO_LETTERS = SPACES + "0123456789!#$%&()*+,-./:;<=>?@[]^_`{|}~\""
 WINDOW = 5
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stops")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_exclaims",
+            "n_pipes")
 
 
 @dataclass(frozen=True)
@@ -35,11 +38,12 @@ class Rule:
 
 RULES = (
     Rule("symbols", "20 * n_symbols > word_chars", "100 * n_symbols <= word_chars"),
+    Rule("letters", "10 * n_letters < 9 * word_chars", "20 * n_letters >= 19 * word_chars"),
     Rule("capitals", "2 * n_capitals > word_chars", "5 * n_capitals <= word_chars"),
-    Rule("repeats", "10 * n_repeat_words > n_words", "n_repeat_words = 0"),
-    Rule("lines", "2 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
-    Rule("sentences", "n_words >= 30 AND 100 * n_stops < n_words", "n_words >= 30 AND 40 * n_stops >= n_words"),
+    Rule("exclaims", "5 * n_exclaims > n_words", "50 * n_exclaims <= n_words"),
+    Rule("separators", "10 * n_pipes > n_words", "n_pipes = 0"),
+    Rule("repeats", "5 * n_repeat_words > n_words", "20 * n_repeat_words <= n_words"),
+    Rule("lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines"),
 )
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
@@ -90,7 +94,9 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         .alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.expr(f"length({t}) - {_without(t, CAPITALS)}").cast("long").alias("n_capitals"),
-        F.expr(f"length({t}) - {_without(t, '.?')}").cast("long").alias("n_stops"))
+        F.expr(_without(t, NO_LETTERS)).cast("long").alias("n_letters"),
+        F.expr(f"length({t}) - {_without(t, '!')}").cast("long").alias("n_exclaims"),
+        F.expr(f"length({t}) - {_without(t, '|')}").cast("long").alias("n_pipes"))
 
 
 def vote(rule: Rule) -> Column:
