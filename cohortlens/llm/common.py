@@ -1,6 +1,7 @@
 """Helpers that the operators share."""
 
 import uuid
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -74,3 +75,8 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 def bytes_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of the texts of a batch; a missing text is empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+
+
+def trimmed(memo: dict, most: int) -> dict:
+    """``memo`` itself, or its older half once it has more than ``most`` entries: what is frequent was met early."""
+    return memo if len(memo) <= most else dict(islice(memo.items(), most // 2))

@@ -16,14 +16,24 @@ Defined cases: a missing text is empty and holds the end id alone; rows without
 each other in order of their text; an empty table gives files without segments.
 """
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.llm.common import texts_of
+from cohortlens.llm.common import texts_of, trimmed
 
 BLOCK, SEGMENT, SHARE = 128, 1 << 18, 0.9
-MEMO = 300_000
+MEMO = 500_000
+
+#: What a piece may not hold to be split here, and the tokenizer's split pattern over lower-case Latin-1 (fixed values: letters
+#: and numbers among its characters), or the end of a piece.
+_OTHER = re.compile("[^\x21-\x7e\xa1-\xff\n]")
+_SPLIT = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    "|[^\na-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+|\n")
 
 FILE_SCHEMA = (
     "shard int, segment int, n_ids bigint, doc_ids array<bigint>, n_tokens array<bigint>, bases binary, widths binary, "
@@ -32,17 +42,35 @@ FILE_SCHEMA = (
 
 class WordEncoder:
     """Encodes with a tokenizer of the tokenizers library that drops white space and treats what stands between as on its
-    own, so ids of a piece are looked up where it was met before. The memo is cleared when it has ``MEMO`` pieces."""
+    own. Ids of a piece between spaces are looked up where it was met before.
+
+    New pieces of Latin-1 characters need no normalisation but lower case. They are split together by the tokenizer's
+    pattern, and the library encodes all new words of a batch in one text, where each word ends with one token that bears
+    the word-end suffix. Other pieces go to the library as they are. Both memos are bounded."""
 
     _known: dict = {}
+    #: After the end of a piece; no token has this id, and no run of ids contains its bytes.
+    _STOP = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 3, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        # For words that are split and in lower case already.
+        bytes_only = spec["pre_tokenizer"]["pretokenizers"][1]
+        self.plain = Tokenizer.from_str(json.dumps(spec | {
+            "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}))
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -50,18 +78,49 @@ class WordEncoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for start in range(0, len(words), 5000):
+            part = words[start : start + 5000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) != len(part) or stops[-1] != 4 * len(ids):
+                out += self._library(part)
+                continue
+            code, stops = ids.tobytes(), stops.tolist()
+            out += [code[i:j] for i, j in zip([0, *stops], stops)]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        whole = "\n".join(new)
+        if _OTHER.search(whole) or any(t in whole for t in self.added):
+            simple = [p for p in new if not _OTHER.search(p) and not any(t in p for t in self.added)]
+            rest = list(set(new).difference(simple))
+            self.pieces.update(zip(rest, self._library(rest)))
+            new, whole = simple, "\n".join(simple)
+        if not new:
+            return
+        self.words = words = trimmed(self.words, MEMO)
+        cut = _SPLIT.findall(whole.lower() + "\n")
+        unknown = [w for w in set(cut) if w not in words and w != "\n"]
+        words.update(zip(unknown, self._words(unknown)))
+        words["\n"] = self._STOP
+        self.pieces.update(zip(new, b"".join([words[w] for w in cut]).split(self._STOP)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        self.pieces = pieces = trimmed(self.pieces, MEMO)
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({p for pieces in split for p in pieces if p not in memo})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[p] for p in pieces]) for pieces in split]
+        get = pieces.get
+        found = [[get(p) for p in part] for part in split]
+        new = list({p for part, codes in zip(split, found) if None in codes for p, c in zip(part, codes) if c is None})
+        if new:
+            self._learn(new)
+        return [b"".join([pieces[p] if c is None else c for p, c in zip(part, codes)]) if None in codes else b"".join(codes)
+                for part, codes in zip(split, found)]
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:

@@ -7,7 +7,7 @@ undoing the two tokens' merges along their touching sides in order of rank and l
 would have come earlier. Only words with a failing pair go through the exact merging.
 
 Texts are cut before single spaces between other characters, where the pattern always ends a word; ids of such a piece are
-remembered. Both memos are cleared when they are full. Added tokens of the file (as the end of a text) are taken out of a
+remembered. Both memos are bounded. Added tokens of the file (as the end of a text) are taken out of a
 text first, as the tokenizers library does. Every text is encoded whole, in its own task; nothing is shuffled.
 
 The method needs a vocabulary whose tokens are all made by its merges, in order of their ids; that is checked on loading.
@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cohortlens.llm.common import append, texts_of
+from cohortlens.llm.common import append, texts_of, trimmed
 
 MEMO = 250_000
 
@@ -175,10 +175,7 @@ class ByteBpe:
         return found
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
+        self.pieces, self.words = trimmed(self.pieces, MEMO), trimmed(self.words, MEMO)
         cut = [[w.encode() for w in _SPLIT.findall(p)] for p in pieces]
         known = self.words
         new = list({w for words in cut for w in words if w not in known})
