@@ -17,6 +17,8 @@ decoded and raise an error; decoded bytes that are no UTF-8 become replacement c
 """
 
 import json
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortlens.llm.common import append, texts_of, trimmed
 
-MEMO = 250_000
+MEMO = 200_000
+
+SHORT = 64
+_NONE = (1 << 60, -1)
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -41,6 +46,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Added(str):
+    """An added token found in a text; it equals no piece."""
+
+    __hash__ = object.__hash__
+
+    def __eq__(self, other):
+        return self is other
+
+
 class ByteBpe:
     """A vocabulary read from a tokenizers file."""
 
@@ -54,7 +68,11 @@ class ByteBpe:
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.vocab = vocab
-        self.longest = max(map(len, vocab))
+        # The longest token that begins with some three bytes, or with fewer at the end of a word.
+        self.longest: dict[bytes, int] = {}
+        for b in vocab:
+            for head in {b[:1], b[:2], b[:3]}:
+                self.longest[head] = max(self.longest.get(head, 0), len(b))
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.token_bytes: list[bytes] = [b""] * size
         for b, i in vocab.items():
@@ -63,7 +81,8 @@ class ByteBpe:
             self.token_bytes[i] = t.encode()
         # Rank of each token: 0 for a byte, else the place of its merge from 1 on; left and right parts; the merges as keys.
         self.rank, self.left, self.right = np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1)
-        merges, self.ranks = [], {}
+        self.single = [vocab[bytes([b])] for b in range(256)]
+        merges, self.ranks, self.made = [], {}, [-1]
         for k, pair in enumerate(spec["model"]["merges"], 1):
             a, b = (vocab[raw(x)] for x in (pair if isinstance(pair, list) else pair.split(" ")))
             made = vocab[self.token_bytes[a] + self.token_bytes[b]]
@@ -71,6 +90,7 @@ class ByteBpe:
                 raise ValueError("a token is made by two merges")
             self.rank[made], self.left[made], self.right[made] = k, a, b
             self.ranks[a, b] = (k, made)
+            self.made.append(made)
             merges.append((a << 32 | b, k))
         if any(len(b) > 1 and not self.rank[i] for b, i in vocab.items()):
             raise ValueError("a token is made by no merge")
@@ -78,8 +98,8 @@ class ByteBpe:
         self.merge_keys = np.array([m[0] for m in merges], np.int64)
         self.merge_ranks = np.array([m[1] for m in merges], np.int64)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.words: dict[bytes, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.exact_words = 0
 
     @classmethod
@@ -93,9 +113,11 @@ class ByteBpe:
         whole = self.vocab.get(word)
         if whole is not None:
             return [whole]
-        out, at, n, vocab = [], 0, len(word), self.vocab
+        out, at, n, vocab, longest = [], 0, len(word), self.vocab, self.longest
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            head = word[at : at + 3]
+            most = longest.get(head) or longest.get(head[:2]) or 1
+            for end in range(min(n, at + most), at, -1):
                 token = vocab.get(word[at:end])
                 if token is not None:
                     out.append(token)
@@ -135,11 +157,27 @@ class ByteBpe:
         return np.where(self.merge_keys[at] == keys, self.merge_ranks[at], 0)
 
     def merge(self, word: bytes) -> list[int]:
-        """The exact way: the earliest merge of all adjacent pairs, leftmost first, until none is left. Pairs wait in a heap,
-        so a long word takes n log n steps."""
-        from heapq import heapify, heappop, heappush
-
-        tokens = [self.vocab[bytes([b])] for b in word]
+        """The exact way: the earliest merge of all adjacent pairs, leftmost first, until none is left. The pairs of a short
+        word stand in a list, those of a long one wait in a heap, so that it takes n log n steps."""
+        tokens = [self.single[b] for b in word]
+        if len(tokens) > SHORT:
+            return self._merge_long(tokens)
+        get = self.ranks.get
+        waiting = [get(p, _NONE)[0] for p in zip(tokens, tokens[1:])]
+        while waiting:
+            least = min(waiting)
+            if least == _NONE[0]:
+                break
+            i = waiting.index(least)
+            tokens[i : i + 2] = [self.made[least]]
+            del waiting[i]
+            if i:
+                waiting[i - 1] = get((tokens[i - 1], tokens[i]), _NONE)[0]
+            if i < len(waiting):
+                waiting[i] = get((tokens[i], tokens[i + 1]), _NONE)[0]
+        return tokens
+
+    def _merge_long(self, tokens: list[int]) -> list[int]:
         n = len(tokens)
         after, before, ranks = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks
         heap = [(ranks[p][0], i, *p) for i, p in enumerate(zip(tokens, tokens[1:])) if p in ranks]
@@ -164,7 +202,7 @@ class ByteBpe:
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Different words at once: speculate, verify all pairs, merge exactly where a pair fails."""
         found = [self.speculate(w) for w in words]
-        lengths = np.array([len(x) for x in found])
+        lengths = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((t for x in found for t in x), np.int64, int(lengths.sum()))
         word = np.repeat(np.arange(len(words)), lengths)
         pair = np.flatnonzero(word[1:] == word[:-1])
@@ -175,13 +213,15 @@ class ByteBpe:
         return found
 
     def _learn(self, pieces: list[str]) -> None:
-        self.pieces, self.words = trimmed(self.pieces, MEMO), trimmed(self.words, MEMO)
-        cut = [[w.encode() for w in _SPLIT.findall(p)] for p in pieces]
-        known = self.words
+        self.words = known = trimmed(self.words, MEMO)
+        # A space and letters are one word; the pattern cuts the others.
+        cut = [(p,) if p[1:].isalpha() and p[0] == " " else _SPLIT.findall(p) for p in pieces]
         new = list({w for words in cut for w in words if w not in known})
-        known.update(zip(new, self.encode_words(new)))
-        for p, words in zip(pieces, cut):
-            self.pieces[p] = [t for w in words for t in known[w]]
+        found = self.encode_words([w.encode() for w in new])
+        flat = np.fromiter(chain.from_iterable(found), "<i4", sum(map(len, found))).tobytes()
+        ends = np.cumsum([0, *map(len, found)]) * 4
+        known.update((w, flat[i:j]) for w, i, j in zip(new, ends.tolist(), ends[1:].tolist()))
+        self.pieces.update((p, known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c])) for p, c in zip(pieces, cut))
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -192,32 +232,27 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        self.pieces = known = trimmed(self.pieces, MEMO)
         parts = [self._parts(x) for x in texts]
-        new = list({p for part in parts for p in part if isinstance(p, str) and p not in self.pieces})
+        get = known.get
+        found = [[get(p) for p in part] for part in parts]
+        new = list({p for part, ids in zip(parts, found) if None in ids for p, x in zip(part, ids) if x is None})
         if new:
-            self._learn(new)
-        out = []
-        for part in parts:
-            ids: list[int] = []
-            for p in part:
-                ids += self._of(p) if isinstance(p, str) else [p]
-            out.append(ids)
-        return out
+            self._learn([p for p in new if not isinstance(p, Added)])
+        return [b"".join([self._code(p) if x is None else x for p, x in zip(part, ids)] if None in ids else ids)
+                for part, ids in zip(parts, found)]
 
-    def _of(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            self._learn([piece])
-            got = self.pieces[piece]
-        return got
+    def _code(self, piece: str) -> bytes:
+        return np.array([self.added[str(piece)]], "<i4").tobytes() if isinstance(piece, Added) else self.pieces[piece]
 
     def _parts(self, text: str) -> list:
         if self.special is None or not self.special.search(text):
             return self.cut(text)
         out, past = [], 0
         for m in self.special.finditer(text):
-            out += [*self.cut(text[past : m.start()]), self.added[m.group()]]
+            out += [*self.cut(text[past : m.start()]), Added(m.group())]
             past = m.end()
         return out + self.cut(text[past:])
 
@@ -235,7 +270,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                yield append(batch, {out: pa.array(bpe.encode(texts_of(batch, text)), pa.list_(pa.int32()))})
+                codes = bpe.encode(texts_of(batch, text))
+                offsets = pa.array(np.cumsum([0, *map(len, codes)]) // 4, pa.int32())
+                values = pa.array(np.frombuffer(b"".join(codes), "<i4"))
+                yield append(batch, {out: pa.ListArray.from_arrays(offsets, values)})
 
     return docs.mapInArrow(run, schema)
 
