@@ -92,6 +92,7 @@ def lookup_fallback(r):
     return j.lookup_fallback(base, fine, ["strm", "college", "course"], coarse, ["strm", "college"], "avg_grade", "avg_grade_2", "avg_g")
 
 
+CALENDAR = (1990, 2009)
 SPELL_TERMS = """
 cal AS (SELECT 10*(y-1800)+t AS strm, y, t, CASE t WHEN 2 THEN 1 WHEN 3 THEN 6 ELSE 9 END AS lo, CASE t WHEN 2 THEN 4 WHEN 3 THEN 7 ELSE 12 END AS hi
   FROM (SELECT unnest(range(1990, 2010)) AS y), (SELECT unnest([2,3,4]) AS t)),
@@ -101,7 +102,7 @@ st AS (SELECT s.*, c.strm::INT AS strm FROM spells_v s JOIN cal c ON
 
 @query("c10_spells_to_terms", f"WITH {SPELL_TERMS} SELECT student, college, strm, count(*) AS spells, max(intensity) AS intensity FROM st GROUP BY ALL")
 def spells_to_terms(r):
-    return j.spells_to_terms(r.spells).groupBy("student", "college", "strm").agg(
+    return j.spells_to_terms(r.spells, CALENDAR).groupBy("student", "college", "strm").agg(
         F.count(F.lit(1)).alias("spells"), F.max("intensity").alias("intensity"))
 
 

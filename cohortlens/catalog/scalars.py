@@ -103,7 +103,7 @@ def strings(r):
                               n.startswith("2").cast("int").alias("starts"), n.endswith("L").cast("int").alias("ends")).distinct()
 
 
-SUBJECT_SQL = "CASE " + " ".join(f"WHEN subject IN ({', '.join(repr(s) for s in v.split())}) THEN '{k}'" for k, v in codes.SUBJECT_CLUSTERS.items()) + " ELSE 'OTH' END"
+SUBJECT_SQL = "CASE " + " ".join(f"WHEN subject IN ({', '.join(repr(s) for s in v)}) THEN '{k}'" for k, v in codes.SUBJECT_CLUSTERS.items()) + " ELSE 'OTH' END"
 
 
 @query("i11_code_lists", """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog.aggregates import AID_TERMS
 from cohortlens.catalog.course_features import ATTEMPT, EARN, FILLED, PTS
-from cohortlens.catalog.joins import SPELL_TERMS
+from cohortlens.catalog.joins import CALENDAR, SPELL_TERMS
 from cohortlens.catalog.registry import query
 from cohortlens.catalog.sql_parts import p_sql
 from cohortlens.catalog.measures import OLS_SQL
@@ -55,7 +55,7 @@ def outcomes(r):
 
 
 @query("l03_elapsed_distribution", f"""
-WITH {OUTCOMES}, gp AS (SELECT DISTINCT student, strm FROM snapshot_v WHERE total_credit_hrs > 0 AND source % 50 <> 7), en AS (SELECT DISTINCT student, strm FROM enrolment_v WHERE section < 4),
+WITH {OUTCOMES}, gp AS (SELECT DISTINCT student, strm FROM snapshot_v WHERE total_credit_hrs > 0), en AS (SELECT DISTINCT student, strm FROM enrolment_v),
 bad AS (SELECT DISTINCT gp.student FROM gp ANTI JOIN en USING (student, strm)), ok AS (SELECT en.* FROM en ANTI JOIN bad USING (student)),
 e AS (SELECT ok.student, ok.strm, o.first FROM ok JOIN outc o USING (student) WHERE ok.strm IN (2002,2003,2004) AND NOT coalesce(o.first_degree_strm <= ok.strm, false) AND o.first <= ok.strm),
 n AS (SELECT (3*floor((strm-first)/10) + CASE strm-first-10*floor((strm-first)/10) WHEN 8 THEN 1 WHEN 9 THEN 2 ELSE strm-first-10*floor((strm-first)/10) END + 1)::INT AS nth_term FROM e),
@@ -67,8 +67,8 @@ def elapsed_distribution(r):
     from cohortlens.operators.joins import exclude_inconsistent
     from cohortlens.operators.sampling import quota_sizes
 
-    enrolled = r.enrolment.where("section < 4").select("student", "strm").distinct()
-    gpa = r.snapshots.where("total_credit_hrs > 0 and source % 50 <> 7").select("student", "strm").distinct()
+    enrolled = r.enrolment.select("student", "strm").distinct()
+    gpa = r.snapshots.where("total_credit_hrs > 0").select("student", "strm").distinct()
     consistent = exclude_inconsistent(enrolled, gpa, "student", ["student", "strm"])
     nth = st.elapsed_terms(consistent, st.outcomes(records(r), degrees(r), KINDS), [2002, 2003, 2004])
     props = a.share(a.freq(nth, "nth_term"), [], "n", "prop")
@@ -148,7 +148,7 @@ def program_record(r):
 
 @query("l08_pre_entry", f"""
 WITH en AS (SELECT student, min(strm)+20 AS first FROM enrolment_v GROUP BY student),
-gf AS (SELECT student, strm, college, sum(t) OVER w AS taken, sum(p) OVER w AS passed FROM (SELECT student, strm, college, sum(credit) AS t, sum(CASE WHEN grade IN ('A','B','C','D') THEN credit ELSE 0 END) AS p FROM enrolment_v WHERE student%3=0 GROUP BY ALL)
+gf AS (SELECT student, strm, college, sum(t) OVER w AS taken, sum(p) OVER w AS passed FROM (SELECT student, strm, college, sum(credit) AS t, sum(CASE WHEN grade IN ('A','B','C','D') THEN credit ELSE 0 END) AS p FROM enrolment_v GROUP BY ALL)
   WINDOW w AS (PARTITION BY student, college ORDER BY strm)),
 l AS (SELECT gf.student, college, arg_max(taken, strm) AS taken, arg_max(passed, strm) AS passed FROM gf JOIN en USING (student) WHERE strm < first GROUP BY ALL),
 fg AS (SELECT student, sum(taken) AS taken, sum(passed) AS passed, 1 AS in_gpa FROM l WHERE taken<>0 GROUP BY student),
@@ -167,7 +167,7 @@ def pre_entry(r):
     from cohortlens.operators.windows import running_sum
 
     entry = r.enrolment.groupBy("student").agg((F.min("strm") + 20).alias("first"))
-    per = r.enrolment.where("student % 3 = 0").groupBy("student", "strm", "college").agg(
+    per = r.enrolment.groupBy("student", "strm", "college").agg(
         F.sum("credit").alias("t"), a.total_if(F.col("credit"), F.col("grade").isin("A", "B", "C", "D")).alias("p"))
     keys = ["student", "college"]
     gpa = per.select("student", "strm", "college", running_sum("t", keys).alias("taken"), running_sum("p", keys).alias("passed"))
@@ -188,7 +188,7 @@ def _external_sample(r):
 
 @query("l09_external_terms", f"WITH {EXTERNAL} SELECT * FROM xt")
 def external_terms(r):
-    return ext.external_terms(r.spells, _external_sample(r).drop("valid"))
+    return ext.external_terms(r.spells, _external_sample(r).drop("valid"), CALENDAR)
 
 
 @query("l09_external_counts", f"""
@@ -196,7 +196,7 @@ WITH {EXTERNAL} SELECT student, count(DISTINCT college) FILTER (WHERE pre=1) AS
  count(DISTINCT strm) FILTER (WHERE pre=1) AS pre_terms, count(DISTINCT strm) FILTER (WHERE pre=0) AS terms FROM xt GROUP BY student
 """)
 def external_counts(r):
-    return ext.external_counts(ext.external_terms(r.spells, _external_sample(r).drop("valid")))
+    return ext.external_counts(ext.external_terms(r.spells, _external_sample(r).drop("valid"), CALENDAR))
 
 
 QUALITY_SQL = """
@@ -224,7 +224,7 @@ SELECT student, {', '.join(f'sum({q}*w)/nullif(sum(CASE WHEN {q} IS NOT NULL THE
 """)
 def external_quality(r):
     sample = _external_sample(r)
-    terms = ext.external_terms(r.spells, sample.drop("valid"))
+    terms = ext.external_terms(r.spells, sample.drop("valid"), CALENDAR)
     quality, types = _quality(r)
     return ext.external_quality(terms, sample, quality, types, ["admrate", "gradrate"], [f"coll_type_{i}" for i in range(1, 9)])
 
@@ -324,7 +324,7 @@ def degree_level(r):
 
 
 @query("l16_program_at_term", """
-WITH s AS (SELECT student, strm, source, total_credit_hrs, (source%40)::BIGINT AS cip, CASE deglvl WHEN 'AA&S' THEN 1 WHEN 'AAS' THEN 2 WHEN 'CERT' THEN 3 WHEN 'CSC' THEN 4 ELSE 5 END AS lvl FROM snapshot_v WHERE source%40 < 30 OR source%7=0),
+WITH s AS (SELECT student, strm, source, total_credit_hrs, (source%40)::BIGINT AS cip, CASE deglvl WHEN 'AA&S' THEN 1 WHEN 'AAS' THEN 2 WHEN 'CERT' THEN 3 WHEN 'CSC' THEN 4 ELSE 5 END AS lvl FROM snapshot_v),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY student, strm ORDER BY lvl, total_credit_hrs DESC, source) AS rn FROM s) WHERE rn=1)
 SELECT student, strm, CASE WHEN count(*) OVER (PARTITION BY cip) < 0.01*count(*) OVER () THEN 99 ELSE cip END AS cip, lvl FROM o
 """)
@@ -333,7 +333,7 @@ def program_at_term(r):
     from cohortlens.operators.rows import collapse_rare
 
     k = F.col("source")
-    s = r.snapshots.where((k % 40 < 30) | (k % 7 == 0)).select("student", "strm", "source", "total_credit_hrs", (k % 40).alias("cip"), intended_rank(F.col("deglvl")).alias("lvl"))
+    s = r.snapshots.select("student", "strm", "source", "total_credit_hrs", (k % 40).alias("cip"), intended_rank(F.col("deglvl")).alias("lvl"))
     one = st.program_at(s, ["student", "strm"], [F.col("lvl"), -F.col("total_credit_hrs"), F.col("source")])
     return collapse_rare(one.select("student", "strm", "cip", "lvl"), "cip", 0.01, 99)
 

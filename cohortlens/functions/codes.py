@@ -17,19 +17,41 @@ STATUS_INTENSITY = {
 
 # Subject code to subject cluster (a subject listed twice keeps its last cluster).
 SUBJECT_CLUSTERS = {
-    "BUS": "ACC BUS MKT HRI FIN REA ACQ CON ISR",
-    "ART": "ART DAN MUS HRT CRF PHT IDS DEC",
-    "SCI": "BIO GOL PHY NAS CHM SCT",
-    "EGR": "EGR CSC ITD ITE ITN ITP HIM ENE GIS ENV HIT ARC ETR AST IND IST DRF CAD TEL MEC AMT CIV INS NUC UMS "
-           "AVI ESR NAN SIM",
-    "MTH": "MTE MTH MTT MCR MDE",
-    "SOC": "EDU SOC ECO GEO HIS PSY PLS ADJ LGL CHD SSC PBS EIP",
-    "MED": "EMS NUR HLT PED DMS RAD EMT PNE DNA SUR NSG HCT DNH OCT CSP DIT PSG PNG PTH MEN MDL RTH MDA OPT ROC "
-           "DNL OMP PBH DIA",
-    "HUM": "HUM CST PHI REL ENG ENF EDE HMS SDV SPD STD SCM MET",
-    "FLA": "ASL ARA FRE GER JPN KOR ITA LAT SPA CHI ESL RUS INT GRE POR VTN HIN",
-    "OCC": "FST AGR AIR ARO AUT FOR FIR WEL VET EQU LBR BCS BLD BSK COS VEN TRK TRV PNT MSC MAR MAC ELE RVH RPK "
-           "SAF AUB DSL FNS MRT MTS FUR GWR MIN PPT HVE APL",
+    "BUS": [
+        "ACC", "BUS", "MKT", "HRI", "FIN", "REA", "ACQ", "CON", "ISR"
+    ],
+    "ART": [
+        "ART", "DAN", "MUS", "HRT", "CRF", "PHT", "IDS", "DEC"
+    ],
+    "SCI": [
+        "BIO", "GOL", "PHY", "NAS", "CHM", "SCT"
+    ],
+    "EGR": [
+        "EGR", "CSC", "ITD", "ITE", "ITN", "ITP", "HIM", "ENE", "GIS", "ENV", "HIT", "ARC", "ETR", "AST", "IND",
+        "IST", "DRF", "CAD", "TEL", "MEC", "AMT", "CIV", "INS", "NUC", "UMS", "AVI", "ESR", "NAN", "SIM"
+    ],
+    "MTH": [
+        "MTE", "MTH", "MTT", "MCR", "MDE"
+    ],
+    "SOC": [
+        "EDU", "SOC", "ECO", "GEO", "HIS", "PSY", "PLS", "ADJ", "LGL", "CHD", "SSC", "PBS", "EIP"
+    ],
+    "MED": [
+        "EMS", "NUR", "HLT", "PED", "DMS", "RAD", "EMT", "PNE", "DNA", "SUR", "NSG", "HCT", "DNH", "OCT", "CSP",
+        "DIT", "PSG", "PNG", "PTH", "MEN", "MDL", "RTH", "MDA", "OPT", "ROC", "DNL", "OMP", "PBH", "DIA"
+    ],
+    "HUM": [
+        "HUM", "CST", "PHI", "REL", "ENG", "ENF", "EDE", "HMS", "SDV", "SPD", "STD", "SCM", "MET"
+    ],
+    "FLA": [
+        "ASL", "ARA", "FRE", "GER", "JPN", "KOR", "ITA", "LAT", "SPA", "CHI", "ESL", "RUS", "INT", "GRE", "POR",
+        "VTN", "HIN"
+    ],
+    "OCC": [
+        "FST", "AGR", "AIR", "ARO", "AUT", "FOR", "FIR", "WEL", "VET", "EQU", "LBR", "BCS", "BLD", "BSK", "COS",
+        "VEN", "TRK", "TRV", "PNT", "MSC", "MAR", "MAC", "ELE", "RVH", "RPK", "SAF", "AUB", "DSL", "FNS", "MRT",
+        "MTS", "FUR", "GWR", "MIN", "PPT", "HVE", "APL"
+    ],
 }
 OTHER_CLUSTER = "OTH"
 CLUSTERS = sorted(SUBJECT_CLUSTERS) + [OTHER_CLUSTER]
@@ -39,7 +61,7 @@ GROUPS = ["white", "afam", "hisp", "asian", "other"]
 
 
 def subject_cluster(subject: Column) -> Column:
-    cases = [(subject.isin(codes.split()), F.lit(name)) for name, codes in SUBJECT_CLUSTERS.items()]
+    cases = [(subject.isin(codes), F.lit(name)) for name, codes in SUBJECT_CLUSTERS.items()]
     return first_of(*cases, default=F.lit(OTHER_CLUSTER))
 
 

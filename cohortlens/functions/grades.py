@@ -66,13 +66,3 @@ def adjusted_credit(credit: Column, grade: Column) -> Column:
 
 def audit_halved(credit: Column, grade: Column) -> Column:
     return F.when(in_list(grade, ["X", "XN"]), credit / 2).otherwise(credit)
-
-
-def to_code(mark: Column) -> Column:
-    """A short text (up to 7 bytes) as a number, so that its minimum and maximum are hash aggregates
-    instead of sort aggregates."""
-    return F.conv(F.hex(mark), 16, 10).cast("bigint")
-
-
-def from_code(code: Column) -> Column:
-    return F.decode(F.unhex(F.conv(code.cast("string"), 10, 16)), "UTF-8")

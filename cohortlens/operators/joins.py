@@ -50,13 +50,16 @@ def lookup_fallback(df: DataFrame, fine: DataFrame, fine_on, coarse: DataFrame,
     return joined.withColumn(out, F.coalesce(value, fallback)).drop(value, fallback)
 
 
-def spells_to_terms(spells: DataFrame, begin: str = "begin_date", end: str = "end_date", out: str = "strm") -> DataFrame:
-    """One row per spell x overlapped term.
+def spells_to_terms(spells: DataFrame, years: tuple[int, int], begin: str = "begin_date", end: str = "end_date",
+                    out: str = "strm") -> DataFrame:
+    """One row per spell x overlapped term of the calendar, ``years`` being its first and last year; a spell with an end
+    far in the future gives no terms beyond.
 
     A spell reaches only a handful of terms, so the terms are generated from its own dates and no
     range join is needed: spring is months 1-4, summer 6-7, fall 9-12.
     """
-    years = F.explode(F.sequence(F.year(begin), F.year(end))).alias("__year")
+    since, until = F.greatest(F.year(begin), F.lit(years[0])), F.least(F.year(end), F.lit(years[1]))
+    span = F.explode(F.when(since <= until, F.sequence(since, until))).alias("__year")
     windows = F.array(*[
         F.struct(F.lit(t).alias("t"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
         for t, lo, hi in ((2, 1, 4), (3, 6, 7), (4, 9, 12))
@@ -66,7 +69,7 @@ def spells_to_terms(spells: DataFrame, begin: str = "begin_date", end: str = "en
     starts = (by < year) | ((by == year) & (bm <= w["hi"]))
     ends = (ey > year) | ((ey == year) & (em >= w["lo"]))
     return (
-        spells.select("*", years)
+        spells.select("*", span)
         .select("*", F.explode(windows).alias("__w"))
         .where(starts & ends)
         .withColumn(out, (10 * (year - 1800) + w["t"]).cast("int"))

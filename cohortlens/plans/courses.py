@@ -37,21 +37,23 @@ def fill_grades(df: DataFrame) -> DataFrame:
     """A missing grade takes the only known grade of the same course taken by the student in the term,
     first within the college, then across colleges; lone rows without credit and grade are dropped.
 
-    Filling within a college adds no new grade to the course, so the second rule can read its range from
-    the per-college ranges: one aggregate and one join serve both.
+    The empty grade is a missing one; where nothing fills it, it stays as it came. Filling within a college adds
+    no new grade to the course, so the second rule can read its range from the per-college ranges: rows are counted
+    per grade first, and the ranges come from that reduced table.
     """
     df = df.withColumn("course_num", clean_course_number(F.col("course_num")))
     wide = ["student", "strm", "subject", "course_num"]
     narrow = [*wide, "college"]
-    mark = g.to_code(F.col("grade"))
-    ranges = df.groupBy(*narrow).agg(F.min(mark).alias("__lo"), F.max(mark).alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    known = F.nullif(F.col("grade"), F.lit(""))
+    marks = df.groupBy(*narrow, known.alias("__mark")).agg(F.count(F.lit(1)).alias("__n"))
+    ranges = marks.groupBy(*narrow).agg(F.min("__mark").alias("__lo"), F.max("__mark").alias("__hi"), F.sum("__n").alias("__n"))
     colleges = Window.partitionBy(*wide)
     ranges = ranges.withColumns({"__wlo": F.min("__lo").over(colleges), "__whi": F.max("__hi").over(colleges)})
-    only = F.when(F.col("__lo") == F.col("__hi"), g.from_code(F.col("__lo")))
-    anywhere = F.when(F.col("__wlo") == F.col("__whi"), g.from_code(F.col("__wlo")))
-    rows = df.join(ranges, narrow).withColumn("grade", F.coalesce("grade", only))
-    rows = rows.where(~((F.col("credit") == 0) & (F.col("__n") == 1) & F.col("grade").isNull()))
-    return rows.withColumn("grade", F.coalesce("grade", anywhere)).select(*df.columns)
+    only = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo"))
+    anywhere = F.when(F.col("__wlo") == F.col("__whi"), F.col("__wlo"))
+    rows = df.join(ranges, narrow).withColumn("__mark", F.coalesce(known, only))
+    rows = rows.where(~((F.col("credit") == 0) & (F.col("__n") == 1) & F.col("__mark").isNull()))
+    return rows.withColumn("grade", F.coalesce("__mark", anywhere, "grade")).select(*df.columns)
 
 
 def aggregate_courses(df: DataFrame, seed=1234) -> DataFrame:

@@ -16,13 +16,13 @@ def placeholder_codes(colleges: DataFrame, code: str, keys) -> DataFrame:
     return colleges.join(missing, list(keys), "left").withColumn(code, F.coalesce(code, "__new")).drop("__new")
 
 
-def external_terms(spells: DataFrame, sample: DataFrame) -> DataFrame:
-    """One row per student x college x term of outside enrolment in the observation window.
+def external_terms(spells: DataFrame, sample: DataFrame, years: tuple[int, int]) -> DataFrame:
+    """One row per student x college x term of outside enrolment in the observation window, within the calendar's years.
 
     ``sample``: student, first, earliest, last. Intensity is the highest known one; an unknown one ranks
     below every known value but is missing again when nothing better is found.
     """
-    terms = spells_to_terms(spells).join(sample, "student").where(
+    terms = spells_to_terms(spells, years).join(sample, "student").where(
         (F.col("strm") >= F.col("earliest")) & (F.col("strm") <= F.col("last")))
     return terms.groupBy("student", "college", "strm").agg(
         max_low_missing(F.col("intensity")).alias("intensity"), F.max(flag(F.col("strm") < F.col("first"))).alias("pre"))

@@ -391,11 +391,12 @@ def compare_importance(a: DataFrame, b: DataFrame, key: str = "predictor", value
 
 
 def pooled_segments(df: DataFrame, segment: str, train: Column) -> DataFrame:
-    """Scores of segment models pooled, each with the threshold of its own training rows."""
+    """Scores of segment models pooled, each with the threshold of its own training rows; rows of a segment without
+    training rows have none."""
     own = df.where(train)
     c = cumulate(own, [segment], "score")
     failures = own.groupBy(segment).agg(F.greatest(F.count_if(F.col("y") == 0), F.lit(1)).alias("__need"))
     limits = c.join(failures, segment).where(F.col("cum_n") >= F.col("__need")).groupBy(segment).agg(
         F.min("score").alias("threshold"))
-    return df.where(~train).join(limits, segment)
+    return df.where(~train).join(limits, segment, "left")
 

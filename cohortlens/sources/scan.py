@@ -1,6 +1,5 @@
 """Multi-file scans and sinks."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -41,12 +40,9 @@ def sink(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names; a local session without one gets its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
+    """A new folder below the shared one the session names (``spark.checkpoint.dir``), else in its warehouse, which driver
+    and executors share as well. The caller owns what is written there."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -122,7 +122,7 @@ def test_possible_main_terms_counts_fall_and_spring(spark):
 
 def test_short_late_spring_spell_has_no_term(spark):
     df = spark.sql("select 1 as id, date'2015-05-10' as begin_date, date'2015-05-20' as end_date union all select 2, date'2015-12-20', date'2016-01-05'")
-    assert sorted(values(joins.spells_to_terms(df), "id", "strm")) == [(2, 2154), (2, 2162)]
+    assert sorted(values(joins.spells_to_terms(df, (2000, 2030)), "id", "strm")) == [(2, 2154), (2, 2162)]
 
 
 def test_prior_features_ignore_later_terms(spark):
@@ -318,3 +318,46 @@ def test_pr_threshold_equals_scan(spark):
             best = (t, f1)
     got = measures.pr_threshold(df).first()
     assert (got.threshold, got.f1) == (best[0], pytest.approx(best[1]))
+
+
+@pytest.mark.parametrize("grade", ["", "A", "AB", "SATISFACTORY-PROGRESS"])
+def test_fill_grades_of_any_length(spark, grade):
+    rows = [(1, 2154, "MTH", "101", "x", 1, 3.0, grade), (1, 2154, "MTH", "101", "x", 2, 3.0, None)]
+    df = spark.createDataFrame(rows, "student int, strm int, subject string, course_num string, college string, section int, credit double, grade string")
+    got = {r.section: r.grade for r in courses.fill_grades(df).collect()}
+    assert got == {1: grade, 2: grade or None}
+
+
+def test_spells_end_with_the_calendar(spark):
+    df = spark.sql("SELECT 1 AS id, date '2005-09-01' AS begin_date, date '9999-12-31' AS end_date")
+    assert max(r.strm for r in joins.spells_to_terms(df, (2000, 2006)).collect()) == 2064
+
+
+def test_downsample_keeps_a_stratum_without_group(spark):
+    rows = [(i, "afam", i % 2) for i in range(10)] + [(100 + i, None, i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, grp string, y int")
+    from cohortlens.operators.sampling import downsample
+
+    got = [r.grp for r in downsample(df, "grp", "y", "afam", "id").collect()]
+    assert got.count("afam") == 10 and got.count(None) == 10
+
+
+def test_pooled_segments_keep_rows_without_training(spark):
+    from cohortlens.plans.measures import pooled_segments
+
+    df = spark.createDataFrame([("a", 0.1, 0, 0), ("a", 0.9, 1, 1), ("b", 0.5, 1, 1)], "seg string, score double, y int, valid int")
+    got = {r.seg: r.threshold for r in pooled_segments(df, "seg", F.col("valid") == 0).collect()}
+    assert got == {"a": 0.1, "b": None}
+
+
+def test_forests_that_cannot_be_built_raise(spark):
+    from cohortlens.plans import models
+
+    df = spark.createDataFrame([(0.0, 1.0, 0, 0), (1.0, 0.0, 1, 0)], "a double, b double, y int, valid int")
+    with pytest.raises(ValueError):
+        models.fit_rf(df, ["a", "b"], models.Forest(31, 2, 2))
+    with pytest.raises(ValueError):
+        models.fit_rf(df, ["a", "b"], models.Forest(3, 2, 3))
+    with pytest.raises(ValueError):
+        models.run_variant(df, ["a", "b"], models.Variant({None: models.Forest(3, 2, 2)}, segment="a"))
+    assert models.COURSE_VARIANTS["base"].forests[None].within(30).depth == 30
