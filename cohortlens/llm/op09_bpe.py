@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortlens.llm.common import append, texts_of, trimmed
 
-MEMO = 200_000
+MEMO = 120_000
 
 SHORT = 64
 _NONE = (1 << 60, -1)
@@ -260,38 +260,47 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with an array of token ids; an equally named column of the input is replaced."""
-    docs = docs.drop(out) if out != text else docs
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+def _arrays(codes: list[bytes]) -> pa.ListArray:
+    offsets = pa.array(np.cumsum([0, *map(len, codes)]) // 4, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(codes), "<i4")))
+
+
+def _mapped(rows: DataFrame, path: str, make, **columns) -> DataFrame:
+    """``rows`` with the columns that ``make(bpe, batch)`` gives for a batch of a few hundred rows."""
+    rows = rows.drop(*columns)
 
     def run(batches):
         bpe = ByteBpe.of(path)
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                codes = bpe.encode(texts_of(batch, text))
-                offsets = pa.array(np.cumsum([0, *map(len, codes)]) // 4, pa.int32())
-                values = pa.array(np.frombuffer(b"".join(codes), "<i4"))
-                yield append(batch, {out: pa.ListArray.from_arrays(offsets, values)})
+                yield append(batch, dict(zip(columns, make(bpe, batch))))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in columns.items())]))
 
 
-def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``tokens`` with the text of an array of ids; a missing array is empty; an equally named column is replaced."""
-    tokens = tokens.drop(out)
-    schema = T.StructType([*tokens.schema.fields, T.StructField(out, T.StringType())])
+def _ids(batch: pa.RecordBatch, name: str) -> list[list[int]]:
+    return [x or [] for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
-    def run(batches):
-        bpe = ByteBpe.of(path)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                column = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-                yield append(batch, {out: pa.array([bpe.decode(x or []) for x in column], pa.string())})
 
-    return tokens.mapInArrow(run, schema)
+def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, an array of token ids; an equally named column of the input is replaced."""
+    return _mapped(docs, path, lambda bpe, batch: [_arrays(bpe.encode(texts_of(batch, text)))], ids=T.ArrayType(T.IntegerType()))
+
+
+def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``tokens`` with ``decoded``, the text of an array of ids; a missing array is empty; an equally named column is
+    replaced."""
+    return _mapped(tokens, path, lambda bpe, batch: [pa.array([bpe.decode(x) for x in _ids(batch, ids)], pa.string())], decoded=T.StringType())
+
+
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and with ``decoded``, the text that these ids give, in one pass over the rows."""
+    def both(bpe, batch):
+        codes = bpe.encode(texts_of(batch, text))
+        return [_arrays(codes), pa.array([bpe.decode(np.frombuffer(c, "<i4").tolist()) for c in codes], pa.string())]
+
+    return _mapped(docs, path, both, ids=T.ArrayType(T.IntegerType()), decoded=T.StringType())
 
 
 def digests(tokens: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

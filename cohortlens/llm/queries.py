@@ -79,9 +79,8 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary(BYTE_BPE)
-    tokens = op09_bpe.encode(table(spark, sf_dir).select("doc_id", "text"), path).drop("text")
-    return op09_bpe.digests(op09_bpe.decode(tokens, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    tokens = op09_bpe.encode_and_decode(table(spark, sf_dir).select("doc_id", "text"), vocabulary(BYTE_BPE)).drop("text")
+    return op09_bpe.digests(tokens).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

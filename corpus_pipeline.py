@@ -46,10 +46,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of the ids and of the text that they decode to."""
-    path = vocabulary(BYTE_BPE)
-    coded = op09_bpe.encode(docs.select("doc_id", "text"), path).drop("text")
-    ids = coded.withColumn("tokens", F.col("ids"))
-    return op09_bpe.digests(op09_bpe.decode(ids, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "tokens")
+    coded = op09_bpe.encode_and_decode(docs.select("doc_id", "text"), vocabulary(BYTE_BPE)).drop("text")
+    return op09_bpe.digests(coded.withColumn("tokens", F.col("ids"))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "tokens")
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup),
