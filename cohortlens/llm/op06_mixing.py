@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlens.llm.common import WORD_CLASS, stored
 
 MOST, SEED, BUCKETS = 3, 7, 1024
+#: Symbols and digits that speak against a text.
+MARKS = "0123456789#*$%&|<>!=_@\\^~"
 
 
 def words(text: str = "text") -> Column:
@@ -32,8 +34,7 @@ def words(text: str = "text") -> Column:
 
 def quality(text: str = "text") -> Column:
     """A weight from 0.1 to 1: the share of characters that are no symbols or digits."""
-    marks = "0123456789#*$%&|<>!=_@\\^~"
-    kept = F.length(F.translate(F.col(text), marks, "")) / F.greatest(F.length(text), F.lit(1))
+    kept = F.length(F.translate(F.col(text), MARKS, "")) / F.greatest(F.length(text), F.lit(1))
     return F.greatest(F.lit(0.1), F.coalesce(kept, F.lit(0.1)))
 
 
