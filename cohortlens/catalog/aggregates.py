@@ -28,10 +28,9 @@ SELECT student, strm, college, subject, course_num, section, sum(credit) OVER (P
 """)
 def group_value(r):
     e = r.enrolment.drop("instructor", "day_eve_code")
-    e = a.with_group_values(e, ["student", "strm"], term_credit=F.sum("credit"))
-    e = a.with_group_values(e, "college", college_max=F.max("credit"))
-    e = a.with_group_values(e, "grade", same_grade=F.count(F.lit(1)))
-    return e.drop("credit", "grade")
+    return a.with_values_of_groups(
+        e, (["student", "strm"], {"term_credit": F.sum("credit")}), ("college", {"college_max": F.max("credit")}),
+        ("grade", {"same_grade": F.count(F.lit(1))})).drop("credit", "grade")
 
 
 @query("d03_group_sum_if", """

@@ -16,24 +16,45 @@ def inner(r):
     return j.join(e, r.students.select("student", "grp"), "student", expect="m:1")
 
 
-@query("c02_left_join", "SELECT v.student, v.grp, a.year, a.credfal::BIGINT AS credfal FROM student_v v LEFT JOIN (SELECT * FROM aid_v WHERE budget > 3000) a USING (student)")
+YEAR_BEFORE = "(SELECT student, year + 1 AS year, credfal FROM aid_v)"
+
+
+def _year_before(r):
+    """Aid under the year after it, so that a row of a year finds that of the year before, if there was any."""
+    return r.aid.select("student", (F.col("year") + 1).alias("year"), "credfal")
+
+
+def _years(r):
+    return r.aid.select("student", "year", "credspr")
+
+
+@query("c02_left_join", f"""
+SELECT a.student, a.year, a.credspr::BIGINT AS credspr, b.credfal::BIGINT AS credfal FROM aid_v a LEFT JOIN {YEAR_BEFORE} b USING (student, year)
+""")
 def left(r):
-    return j.join(r.students.select("student", "grp"), r.aid.where("budget > 3000").select("student", "year", "credfal"), "student", "left")
+    return j.join(_years(r), _year_before(r), ["student", "year"], "left")
 
 
-@query("c03_right_join", "SELECT v.student, v.grp, a.year FROM (SELECT * FROM aid_v WHERE budget > 3000) a RIGHT JOIN student_v v USING (student)")
+@query("c03_right_join", f"""
+SELECT a.student, a.year, a.credspr::BIGINT AS credspr, b.credfal::BIGINT AS credfal FROM {YEAR_BEFORE} b RIGHT JOIN aid_v a USING (student, year)
+""")
 def right(r):
-    return j.join(r.aid.where("budget > 3000").select("student", "year"), r.students.select("student", "grp"), "student", "right")
+    return j.join(_year_before(r), _years(r), ["student", "year"], "right")
 
 
 MERGE = """
-WITH l AS (SELECT DISTINCT student, strm FROM enrolment_v WHERE credit > 3),
-r AS (SELECT DISTINCT student, strm FROM snapshot_v WHERE total_credit_hrs > 8)"""
+WITH l AS (SELECT DISTINCT student, strm FROM enrolment_v),
+r AS (SELECT DISTINCT student, strm + CASE WHEN source % 13 = 0 THEN 10 ELSE 0 END AS strm FROM snapshot_v)"""
+
+
+def late_terms(snapshots):
+    """Students and terms of all snapshots, some of which stand a year late, so that neither side holds the other."""
+    late = F.when(F.col("source") % 13 == 0, 10).otherwise(0)
+    return snapshots.select("student", (F.col("strm") + late).alias("strm"))
 
 
 def _pair(r):
-    return (r.enrolment.where("credit > 3").select("student", "strm").distinct(),
-            r.snapshots.where("total_credit_hrs > 8").select("student", "strm").distinct())
+    return r.enrolment.select("student", "strm").distinct(), late_terms(r.snapshots).distinct()
 
 
 @query("c04_merge_indicator", MERGE + """
@@ -165,17 +186,17 @@ def assemble(r):
     base = r.enrolment.groupBy(*keys).agg(F.sum("credit").alias("credit"))
     dual = r.snapshots.groupBy(*keys).agg(F.max("dual_enrollment").alias("dual"))
     n = r.snapshots.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_source"))
-    return j.assemble(base, [dual, n], keys, "inner")
+    return j.assemble(base, [dual, n], keys, "inner", complete=True)
 
 
 @query("c16_assemble_scores", """
-SELECT id, score AS pred_1, floor(score*100)/100 AS pred_2, CASE WHEN grp IN ('white','afam') THEN floor(score*10)/10 END AS pred_3, valid FROM scores_v
+SELECT id, score AS pred_1, floor(score*100)/100 AS pred_2, floor(score*10)/10 AS pred_3, valid FROM scores_v
 """)
 def assemble_scores(r):
     def part(valid):
         s = r.scores.where(F.col("valid") == valid)
         tables = {"1": s, "2": s.withColumn("score", F.floor(F.col("score") * 100) / 100),
-                  "3": s.where("grp in ('white','afam')").withColumn("score", F.floor(F.col("score") * 10) / 10)}
+                  "3": s.withColumn("score", F.floor(F.col("score") * 10) / 10)}
         return j.assemble_scores(tables).withColumn("valid", F.lit(valid))
 
     return part(0).unionByName(part(1))

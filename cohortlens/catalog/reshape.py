@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cohortlens.catalog.joins import MERGE, late_terms
 from cohortlens.catalog.registry import query
 from cohortlens.catalog.windows import PER_TERM, SNAP, per_term, snap
 from cohortlens.functions.codes import CLUSTERS, subject_cluster
@@ -112,14 +113,14 @@ def append(r):
     return setops.append([r.enrolment.select("student", "strm", "credit"), r.snapshots.select("student", "strm", "source")])
 
 
-@query("h02_intersect", "SELECT DISTINCT student, strm FROM enrolment_v WHERE credit > 3 INTERSECT SELECT student, strm FROM snapshot_v WHERE total_credit_hrs > 8")
+@query("h02_intersect", MERGE + " SELECT student, strm FROM l INTERSECT SELECT student, strm FROM r")
 def intersect(r):
-    return setops.common(r.enrolment.where("credit > 3").select("student", "strm"), r.snapshots.where("total_credit_hrs > 8").select("student", "strm"))
+    return setops.common(r.enrolment.select("student", "strm"), late_terms(r.snapshots))
 
 
-@query("h03_except", "SELECT DISTINCT student, strm FROM enrolment_v WHERE credit > 3 EXCEPT SELECT student, strm FROM snapshot_v WHERE total_credit_hrs > 8")
+@query("h03_except", MERGE + " SELECT student, strm FROM l EXCEPT SELECT student, strm FROM r")
 def except_(r):
-    return setops.without(r.enrolment.where("credit > 3").select("student", "strm"), r.snapshots.where("total_credit_hrs > 8").select("student", "strm"))
+    return setops.without(r.enrolment.select("student", "strm"), late_terms(r.snapshots))
 
 
 @query("h04_union_distinct", "SELECT count(*) AS n FROM (SELECT student, strm FROM enrolment_v UNION SELECT student, strm FROM snapshot_v)")

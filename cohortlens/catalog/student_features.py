@@ -338,11 +338,28 @@ def program_at_term(r):
     return collapse_rare(one.select("student", "strm", "cip", "lvl"), "cip", 0.01, 99)
 
 
-SCORED = """sc AS (SELECT v.home, v.grp, q.y, s.deglvl FROM scores_v q JOIN snapshot_v s ON s.source=q.id JOIN student_v v ON v.student=s.student)"""
+SCORED = """sc AS (SELECT v.home, v.grp, q.y, s.deglvl, s.source%40 AS cip FROM scores_v q JOIN snapshot_v s ON s.source=q.id JOIN student_v v ON v.student=s.student)"""
 
 
 def _scored(r):
-    return r.scores.join(r.snapshots, F.col("id") == F.col("source")).join(r.students.select("student", "home"), "student").select("home", "grp", "y", "deglvl")
+    return r.scores.join(r.snapshots, F.col("id") == F.col("source")).join(r.students.select("student", "home"), "student").select(
+        "home", "grp", "y", "deglvl", (F.col("source") % 40).alias("cip"))
+
+
+CROSSES = [["home"], ["cip"], ["deglvl"], ["home", "cip"], ["cip", "deglvl"], ["home", "deglvl"], ["home", "cip", "deglvl"]]
+
+
+@query("l33_rates_by_crosses", f"WITH {SCORED} SELECT GROUPING(home, cip, deglvl)::BIGINT AS summed, home, cip, deglvl, avg(y) AS rate, " + ", ".join(
+    f"avg(CASE WHEN grp='{g}' THEN y END) AS rate_{g}, sum((grp='{g}')::INT)/count(*)::DOUBLE AS share_{g}" for g in GROUPS)
+    + ", count(*) AS n FROM sc GROUP BY GROUPING SETS (" + ", ".join(f"({', '.join(c)})" for c in CROSSES) + ")")
+def rates_by_crosses(r):
+    """Rates and shares by college, program, level and each of their crosses; the bits of ``summed`` tell which of the three
+    a row adds up over."""
+    mine = lambda g: F.col("grp") == g
+    sets = [[F.col(c) for c in cross] for cross in CROSSES]
+    return _scored(r).groupingSets(sets, "home", "cip", "deglvl").agg(
+        F.grouping_id().alias("summed"), F.avg("y").alias("rate"), *[m.mean_if(F.col("y"), mine(g)).alias(f"rate_{g}") for g in GROUPS],
+        *[(F.count_if(mine(g)) / F.count(F.lit(1))).alias(f"share_{g}") for g in GROUPS], F.count(F.lit(1)).alias("n"))
 
 
 @query("l33_rates_by_program", f"WITH {SCORED}, t AS (SELECT deglvl FROM sc WHERE deglvl IS NOT NULL GROUP BY deglvl ORDER BY count(*) DESC, deglvl LIMIT 3) SELECT home, deglvl, " + ", ".join(

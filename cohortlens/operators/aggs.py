@@ -5,6 +5,8 @@ the aggregate is combined before the shuffle and the join can split a hot key, w
 bring a whole group to one task.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.functions.nulls import ratio, zero
@@ -39,13 +41,19 @@ def collapse(df: DataFrame, by, **aggs: Column) -> DataFrame:
 
 def with_group_values(df: DataFrame, by, **aggs: Column) -> DataFrame:
     """Each row with aggregates of its group; group keys may be missing."""
-    by = _cols(by)
-    grouped = df.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(*[a.alias(n) for n, a in aggs.items()])
-    cond = None
-    for k in by:
-        same = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        cond = same if cond is None else cond & same
-    return df.join(grouped, cond, "left").drop(*[f"__{k}" for k in by])
+    return with_values_of_groups(df, (by, aggs))
+
+
+def with_values_of_groups(df: DataFrame, *parts) -> DataFrame:
+    """As :func:`with_group_values` for several (keys, aggregates): all are taken from ``df`` itself before anything is
+    joined, so stacking them does not repeat the work of the joins before."""
+    out = df
+    for by, aggs in parts:
+        by = _cols(by)
+        grouped = df.groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(*[a.alias(n) for n, a in aggs.items()])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
+        out = out.join(grouped, same, "left").drop(*[f"__{k}" for k in by])
+    return out
 
 
 def nvals(df: DataFrame, by, x: str, out: str = "n_values") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.sources.contracts import assert_unique
+from cohortlens.sources.contracts import assert_no_nulls, assert_unique
 
 
 def join(left: DataFrame, right: DataFrame, on, how: str = "inner", expect: str | None = None) -> DataFrame:
@@ -110,9 +110,11 @@ def skeleton(ids: DataFrame, terms: Column) -> DataFrame:
     return ids.select("*", F.explode(terms).alias("strm"))
 
 
-def assemble(base: DataFrame, blocks, on, how: str = "left") -> DataFrame:
-    """Chain of joins of feature blocks that share one key, shuffled once on it."""
-    return reduce(lambda acc, block: acc.join(block, on, how), blocks, base)
+def assemble(base: DataFrame, blocks, on, how: str = "left", complete: bool = False) -> DataFrame:
+    """Chain of joins of feature blocks that share one key, shuffled once on it. ``complete`` raises an error if any
+    value of the assembled table is missing."""
+    wide = reduce(lambda acc, block: acc.join(block, on, how), blocks, base)
+    return assert_no_nulls(wide) if complete else wide
 
 
 def assemble_scores(tables: dict, key: str = "id", score: str = "score") -> DataFrame:

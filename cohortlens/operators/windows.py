@@ -102,21 +102,22 @@ def best_suffix_trend(df: DataFrame, entity: str, time: str, x: str, out: str =
 
     With n known earlier values: n < 2 gives 0, n = 2 their difference, and n >= 3 the least-squares
     slope of the suffix of length >= 3 with the highest R² (longest suffix on a tie, R² of a constant
-    suffix is 1). The values of an entity are bounded by the calendar, so they travel as one array and
-    each suffix is folded inside the row.
+    suffix is 1). Running sums come from windows; the sums of a suffix are those of all earlier values less
+    those before its start, so a row does one step for each suffix. The array of sums is bounded by the calendar.
     """
-    past = F.collect_list(x).over(earlier(entity, time))
+    v = F.col(x).cast("double")
+    seen = F.when(v.isNotNull(), F.count(v).over(earlier(entity, time)).cast("double"))
+    upto = lambda value: F.coalesce(F.sum(value).over(earlier(entity, time)), F.lit(0.0))
+    past = F.collect_list(F.when(F.col("__v").isNotNull(), F.struct("__v", "__sv", "__stv", "__svv"))).over(earlier(entity, time))
     n = F.size("__l")
 
     def fit(start):
-        part = F.slice(F.col("__l"), start + 1, n - start)
-        m = n - start
-        pos = F.transform(part, lambda v, i: F.struct(i.cast("double").alias("t"), v.cast("double").alias("v")))
-        add = lambda f: F.aggregate(pos, F.lit(0.0), lambda a, p: a + f(p))
-        st, sv = add(lambda p: p["t"]), add(lambda p: p["v"])
-        stt, stv, svv = (add(lambda p: p["t"] * p["t"]), add(lambda p: p["t"] * p["v"]), add(lambda p: p["v"] * p["v"]))
-        return F.struct(m.cast("double").alias("m"), st.alias("st"), sv.alias("sv"), stt.alias("stt"),
-                        stv.alias("stv"), svv.alias("svv"), start.alias("start"))
+        """Sums of the suffix after ``start`` values; its positions count from 0."""
+        before = F.get("__l", start)
+        m, s = (n - start).cast("double"), start.cast("double")
+        sv, svv = F.col("__sv") - before["__sv"], F.col("__svv") - before["__svv"]
+        return F.struct(m.alias("m"), (m * (m - 1) / 2).alias("st"), sv.alias("sv"), (m * (m - 1) * (2 * m - 1) / 6).alias("stt"),
+                        (F.col("__stv") - before["__stv"] - s * sv).alias("stv"), svv.alias("svv"), start.alias("start"))
 
     def score(s):
         sxy = s["m"] * s["stv"] - s["st"] * s["sv"]
@@ -131,10 +132,12 @@ def best_suffix_trend(df: DataFrame, entity: str, time: str, x: str, out: str =
     best = F.array_max(F.transform(F.transform(starts, fit), score))
     value = (
         F.when(n < 2, 0.0)
-        .when(n == 2, F.try_element_at("__l", F.lit(2)) - F.try_element_at("__l", F.lit(1)))
+        .when(n == 2, F.get("__l", F.lit(1))["__v"] - F.get("__l", F.lit(0))["__v"])
         .otherwise(best["slope"])
     )
-    return df.withColumn("__l", past).withColumn(out, value).drop("__l")
+    sums = df.withColumns({"__v": v, "__t": seen}).withColumns(
+        {"__sv": upto("__v"), "__stv": upto(F.col("__t") * F.col("__v")), "__svv": upto(F.col("__v") * F.col("__v"))})
+    return sums.withColumn("__l", past).withColumn(out, value).drop("__l", "__v", "__t", "__sv", "__stv", "__svv")
 
 
 def leave_one_out(df: DataFrame, by, x: str, w: str, out: str) -> DataFrame:
