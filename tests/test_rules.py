@@ -14,7 +14,7 @@ from cohortlens.functions.stats import two_sided_p
 from cohortlens.functions.terms import nth_term, possible_main_terms, previous_term, term_at
 from cohortlens.operators import aggs, joins, ranking, reshape, rows, sampling
 from cohortlens.operators import windows as w
-from cohortlens.plans import courses, measures
+from cohortlens.plans import courses, measures, models
 from cohortlens.sources.contracts import assert_no_nulls, assert_unique
 from cohortlens.sources.scan import cut_lineage, scan_csv_dir, sink, work_folder
 
@@ -351,7 +351,6 @@ def test_pooled_segments_keep_rows_without_training(spark):
 
 
 def test_forests_that_cannot_be_built_raise(spark):
-    from cohortlens.plans import models
 
     df = spark.createDataFrame([(0.0, 1.0, 0, 0), (1.0, 0.0, 1, 0)], "a double, b double, y int, valid int")
     with pytest.raises(ValueError):
@@ -361,3 +360,23 @@ def test_forests_that_cannot_be_built_raise(spark):
     with pytest.raises(ValueError):
         models.run_variant(df, ["a", "b"], models.Variant({None: models.Forest(3, 2, 2)}, segment="a"))
     assert models.COURSE_VARIANTS["base"].forests[None].within(30).depth == 30
+
+
+def test_values_of_several_groups_come_from_the_source(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, None, "x"), (4, None, None)], "id int, g string, h string")
+    out = aggs.with_values_of_groups(df, ("g", {"n": F.count(F.lit(1))}), (["g", "h"], {"m": F.max("id")}), ("h", {"k": F.sum("id")}))
+    assert sorted((r.id, r.n, r.m, r.k) for r in out.collect()) == [(1, 2, 1, 4), (2, 2, 2, 6), (3, 2, 3, 4), (4, 2, 4, 6)]
+
+
+def test_complete_assembly_rejects_missing_values(spark):
+    base = spark.createDataFrame([(1,), (2,)], "id int")
+    block = spark.createDataFrame([(1, 5)], "id int, v int")
+    assert joins.assemble(base, [block], "id", "inner", complete=True).count() == 1
+    with pytest.raises(ValueError, match="missing"):
+        joins.assemble(base, [block], "id", complete=True)
+
+
+def test_forest_setting_within_the_predictors():
+    deep = models.Forest(34, 260, 15).within(30, 9)
+    assert (deep.depth, deep.trees, deep.features) == (30, 260, 9)
+    assert models.Forest(5, 10).within(30, 9).features == "sqrt"
