@@ -43,4 +43,4 @@ def test_every_statement_has_a_query():
 def test_rows_only_queries_are_the_fitted_models():
     assert set(QUERIES) - set(ORACLE) == {
         "m02_random_forest", "m03_scores", "m05_tuning", "m06_logit", "g04_top_features", "m07_importance_by_group",
-        "m25_counterfactual_rates", "l34_segment_scores", "m_variant_scores"}
+        "m25_counterfactual_rates", "l34_segment_scores", "m_variant_scores", "m_course_variant_scores"}
