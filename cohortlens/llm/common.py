@@ -22,10 +22,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of the session (``spark.checkpoint.dir``). A session without that setting gets
     a folder in its warehouse, which driver and executors share as well. What is written there is read lazily by the
     frame that an operator returns, so it belongs to the caller, who may clear the folder when done."""
-    base = spark.conf.get(_FOLDERS, None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-        spark.conf.set(_FOLDERS, base)
+    base = spark.conf.get(_FOLDERS, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
