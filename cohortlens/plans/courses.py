@@ -9,7 +9,8 @@ from cohortlens.functions import grades as g
 from cohortlens.functions.nulls import flag, in_list, is_true, ratio, zero
 from cohortlens.operators import windows as w
 from cohortlens.operators.aggs import pick, share_of, total_if, with_group_values, mode_by
-from cohortlens.operators.joins import lookup_fallback, own_totals_before, totals_before
+from cohortlens.operators.joins import assemble, lookup_fallback, own_totals_before, totals_before
+from cohortlens.operators.rows import one_hot
 
 
 def with_course(df: DataFrame) -> DataFrame:
@@ -245,9 +246,6 @@ def term_shares(df: DataFrame) -> DataFrame:
 
 def training_rows(eligible: DataFrame, blocks, colleges, baseline: str, valid_from: int) -> DataFrame:
     """Course-level training table: outcome, feature blocks, one-hot college, time split."""
-    from cohortlens.operators.joins import assemble
-    from cohortlens.operators.rows import one_hot
-
     base = eligible.select(*SECTION, flag(F.col("grade").isin(g.PASSED_WELL)).alias("passed"))
     wide = one_hot(assemble(base, blocks, SECTION, "inner"), "college", colleges, baseline)
     return wide.withColumn("valid", flag(F.col("strm") >= valid_from))
