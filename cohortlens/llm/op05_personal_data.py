@@ -2,8 +2,8 @@
 
 Kinds of the base set: email, ip, card, phone; they stand whatever the score. The method adds kinds that need more evidence
 than a pattern: ``iban`` (mod-97), ``card_near`` (12 or 13 digits passing Luhn next to a word about payment), ``national_id``
-(3-2-4 digits with a context word) and ``secret`` (an access key, or a quoted or assigned value after a word such as token or
-password). An added span is kept if pattern score + checksum + context reaches ``LEAST``; a failed checksum rules it out.
+(3-2-4 digits with a context word) and ``secret`` (an access key, or a quoted or assigned value of any length after a word such as
+token or password in either case). An added span is kept if pattern score + checksum + context reaches ``LEAST``; a failed checksum rules it out.
 
 Each text is read in one pass in its own task; nothing is shuffled or shared. Patterns are written so that none is tried
 again over the same characters: e-mail addresses are found from their @, and runs of digits are taken whole.
@@ -31,7 +31,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:password|passwd|token|secret|api_?key)\x20?[=:]\x20?(?:"[^"\n]{8,200}"|[0-9A-Za-z_-]{8,200}))""")
+_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|token|secret|api_?key)\x20?[=:]\x20?(?:"[^"\n]{8,}+"|[0-9A-Za-z_-]{8,}+))""")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 _WORD = re.compile(r"[a-z]+")
@@ -120,16 +120,15 @@ def _scored(text: str, kind: str, start: int, end: int, checked: bool | None) ->
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """What the patterns propose, the checksums leave and the score confirms, besides the base spans."""
-    if not _DIGIT.search(text):
-        return []
-    found = [_scored(text, "iban", m.start(), m.end(), mod97(m.group())) for m in _IBAN.finditer(text)]
-    for m in _CARD.finditer(text):
-        digits = _NOT_DIGIT.sub("", m.group())
-        if 12 <= len(digits) <= 13:
-            found.append(_scored(text, "card_near", m.start(), m.end(), luhn(digits)))
-    if "-" in text:
-        found += [_scored(text, "national_id", m.start(), m.end(), None) for m in _NATIONAL.finditer(text)]
-    found += [_scored(text, "secret", m.start(), m.end(), None) for m in _SECRET.finditer(text)]
+    found = [_scored(text, "secret", m.start(), m.end(), None) for m in _SECRET.finditer(text)]
+    if _DIGIT.search(text):  # the other kinds have digits
+        found += [_scored(text, "iban", m.start(), m.end(), mod97(m.group())) for m in _IBAN.finditer(text)]
+        for m in _CARD.finditer(text):
+            digits = _NOT_DIGIT.sub("", m.group())
+            if 12 <= len(digits) <= 13:
+                found.append(_scored(text, "card_near", m.start(), m.end(), luhn(digits)))
+        if "-" in text:
+            found += [_scored(text, "national_id", m.start(), m.end(), None) for m in _NATIONAL.finditer(text)]
     return [s for s in found if s is not None]
 
 
