@@ -14,6 +14,12 @@ from cohortlens.llm.queries import BYTE_BPE, vocabulary
 ORACLE_SQL = None
 
 
+def numbered(docs: DataFrame, number: str) -> DataFrame:
+    """``docs``, written with a number for each row: ids may be missing or repeated, and a number that is computed again
+    may be another one."""
+    return stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the threshold of their language."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -27,20 +33,23 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group of near copies the row with the smallest id."""
-    rows = stored(op04_simhash.with_fingerprint(docs.select("doc_id", "text")).drop("text"), "fingerprints")
-    first = op04_simhash.groups(rows).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    other = fresh(docs, "first_")[0]
-    first = first.withColumnRenamed("doc_id", other)
-    # Ids are unique after the stage before.
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(other)), "left_semi")
+    number, place = fresh(docs, "number_", "place_")
+    rows = numbered(docs, number)
+    # Ids may be missing or repeated: a row's place is its id, a missing one last, and then its number.
+    placed = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col(number).alias("number"))
+    prints = op04_simhash.with_fingerprint(rows.select(number, "doc_id", "text")).select(placed.alias(place), "fp")
+    found = op04_simhash.groups(stored(prints, "fingerprints"), place)
+    first = found.where(F.col(place) == F.col("component_id")).select(F.col(f"{place}.number").alias(number))
+    return rows.join(first, number, "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    sized = stored(docs.select("doc_id", "source", op06_mixing.words().alias("size"), op06_mixing.quality().alias("quality")), "sized")
-    other, times, n = fresh(docs, "mixed_", "times_", "n_")
-    mixed = op06_mixing.sample(sized).where("epochs > 0").select(F.col("doc_id").alias(other), F.col("epochs").alias(times))
-    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(other)))
+    number, times, n = fresh(docs, "number_", "times_", "n_")
+    rows = numbered(docs, number)
+    sized = stored(rows.select(number, "doc_id", "source", op06_mixing.words().alias("size"), op06_mixing.quality().alias("quality")), "sized")
+    mixed = op06_mixing.sample(sized).where("epochs > 0").select(number, F.col("epochs").alias(times))
+    joined = rows.join(mixed, number)
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(n)).select(*docs.columns)
 
 
