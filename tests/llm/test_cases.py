@@ -250,6 +250,26 @@ def test_quality_model(spark, docs, nothing):
     assert op10_kneser_ney.judge(nothing, labels).count() == 0
 
 
+def plain_texts(ids, seed):
+    import random
+
+    random.seed(seed)
+    words = "some plain words about the weather of a day and what people said of it in town".split()
+    return [(i, " ".join(random.choices(words, k=random.randint(30, 60))), "en") for i in ids]
+
+
+def test_quality_thresholds_count_all_trusted_documents(spark):
+    import random
+
+    rows = plain_texts(range(9000), 13)
+    rows += [(i, "".join(random.choices("abcdefghijklmnopqrstuvwxyz ", k=200)), "rare") for i in range(9000, 9060)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    # The sample that is fitted has a few documents of the rare language; its threshold is of all sixty.
+    got = op10_kneser_ney.judge(df, labels, trusted=300).where("lang = 'rare'").collect()
+    assert sum(r.kept for r in got) >= 57
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([("abcabcabd",), ("the cat sat on the mat",)], "text string")
     table = np.exp(op10_kneser_ney.fit(df).dense().astype(np.float64)).reshape(257, 257, 257)
