@@ -258,6 +258,18 @@ def plain_texts(ids, seed):
     return [(i, " ".join(random.choices(words, k=random.randint(30, 60))), "en") for i in ids]
 
 
+def test_quality_model_rejects_planted_documents(spark):
+    import random
+
+    good, near = plain_texts(range(2000), 11), plain_texts(range(5000, 5200), 12)
+    # A few strange words each, which add less than 0.25 nats a byte.
+    bad = [(i, t + "".join(f" {''.join(random.choices('bcfghjkqxz', k=5))}" for _ in range(3)), g) for i, t, g in near]
+    labels = spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id long, quality int")
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in op10_kneser_ney.judge(df, labels).collect()}
+    assert sum(got[i] for i, _, _ in bad) <= 4 and sum(got[i] for i in range(2000)) >= 1980
+
+
 def test_quality_thresholds_count_all_trusted_documents(spark):
     import random
 
