@@ -61,4 +61,11 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}+',
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _quality_rules(), "op6_mixing": _MIXING, "op7_exact_dedup": _EXACT_DEDUP}
+_WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _quality_rules(), "op6_mixing": _MIXING, "op7_exact_dedup": _EXACT_DEDUP,
+                              "op12_warc": _WARC}

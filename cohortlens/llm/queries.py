@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import (op01_toxicity, op02_quality_rules, op03_token_files, op04_simhash, op05_personal_data, op06_mixing,
-                            op07_exact_dedup, op08_suffix_tree, op09_bpe, op10_kneser_ney)
+                            op07_exact_dedup, op08_suffix_tree, op09_bpe, op10_kneser_ney, op12_warc as warc)
 from cohortlens.llm.common import id_crc, stored, table, work_folder
 from cohortlens.llm.oracle import ORACLE_SQL  # noqa: F401  registered by __spark_entry__
 
@@ -89,6 +89,25 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "perplexity", "threshold", "kept")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages").select("*", warc.row_key().alias("row_key")), path, "row_key")
+    # What the result needs of each record: the payloads of responses as digest and length, fields of the metadata as they are.
+    records = warc.read_records(spark, path).select(
+        "type", "record_id", "concurrent_to", "refers_to", "payload_digest", F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("sha256"), F.when(F.col("type") == "metadata", F.col("payload").cast("string")).alias("fields"))
+    captures = stored(warc.transactions(stored(records, "records")), "captures")
+
+    def page(metadata: str):
+        return F.regexp_extract(f"{metadata}.fields", r"(?m)^page-id: (-?[0-9]+)", 1).try_cast("long")
+
+    again = F.col("response.type") == "revisit"
+    return warc.resolved(captures).select(
+        page("metadata").alias("page_id"), F.col("original.response.payload_bytes").alias("payload_bytes"),
+        F.when(again, F.substring_index("response.payload_digest", ":", -1)).otherwise(F.col("response.sha256")).alias("payload_digest"),
+        F.col("response.type").alias("record_type"), F.when(again, page("original.metadata")).alias("refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,4 +116,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_quality_rules, op3_token_files, op4_simhash, op5_personal_data, op6_mixing, op7_exact_dedup,
-    op8_suffix_tree, op9_bpe, op10_quality_model, pipeline)}
+    op8_suffix_tree, op9_bpe, op10_quality_model, op12_warc, pipeline)}
