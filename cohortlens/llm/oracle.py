@@ -67,5 +67,27 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
 
+_PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+u AS (SELECT lang, word, count(*) AS c FROM (SELECT lang, unnest(w) AS word FROM p) GROUP BY ALL),
+b AS (SELECT lang, x[1] AS w1, x[2] AS w2, count(*) AS a FROM
+  (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) AS x FROM p) GROUP BY ALL HAVING count(*) >= 10),
+t AS (SELECT lang, x[1] AS w1, x[2] AS w2, x[3] AS w3, count(*) AS a FROM
+  (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS x FROM p) GROUP BY ALL HAVING count(*) >= 10),
+m AS (SELECT lang, w1, w2, max(a) AS longer FROM (SELECT lang, w1, w2, a FROM t UNION ALL SELECT lang, w2, w3, a FROM t) GROUP BY ALL),
+two AS (SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.a, x.c AS l, y.c AS r, (1000000::HUGEINT * b.a * b.a) // (x.c::HUGEINT * y.c) AS score FROM b
+  JOIN u x ON x.lang = b.lang AND x.word = b.w1 JOIN u y ON y.lang = b.lang AND y.word = b.w2
+  LEFT JOIN m ON m.lang = b.lang AND m.w1 = b.w1 AND m.w2 = b.w2 WHERE m.longer IS NULL OR 100 * m.longer < 50 * b.a),
+cuts AS (SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.a, x.c AS l1, tail.a AS r1, head.a AS l2, y.c AS r2,
+  (1000000::HUGEINT * t.a * t.a) // (x.c::HUGEINT * tail.a) AS s1, (1000000::HUGEINT * t.a * t.a) // (head.a::HUGEINT * y.c) AS s2 FROM t
+  JOIN u x ON x.lang = t.lang AND x.word = t.w1 JOIN u y ON y.lang = t.lang AND y.word = t.w3
+  JOIN b head ON head.lang = t.lang AND head.w1 = t.w1 AND head.w2 = t.w2 JOIN b tail ON tail.lang = t.lang AND tail.w1 = t.w2 AND tail.w2 = t.w3),
+c AS (SELECT * FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+  JOIN (SELECT lang, sum(c)::BIGINT AS n FROM u GROUP BY lang) USING (lang) WHERE rank <= 2000"""
+
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _quality_rules(), "op6_mixing": _MIXING, "op7_exact_dedup": _EXACT_DEDUP,
-                              "op12_warc": _WARC}
+                              "op12_warc": _WARC, "op13_phrases": _PHRASES}

@@ -3,11 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import (op01_toxicity, op02_quality_rules, op03_token_files, op04_simhash, op05_personal_data, op06_mixing,
-                            op07_exact_dedup, op08_suffix_tree, op09_bpe, op10_kneser_ney, op12_warc as warc)
+                            op07_exact_dedup, op08_suffix_tree, op09_bpe, op10_kneser_ney, op11_alignment, op12_warc as warc,
+                            op13_collocations)
 from cohortlens.llm.common import id_crc, stored, table, work_folder
 from cohortlens.llm.oracle import ORACLE_SQL  # noqa: F401  registered by __spark_entry__
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -89,6 +90,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "perplexity", "threshold", "kept")
 
 
+def op11_alignment_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_alignment.align(table(spark, sf_dir).select("doc_id", "text"), vocabulary(BYTE_BPE), vocabulary(PIECES))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "archives")
     warc.write(table(spark, sf_dir, "pages").select("*", warc.row_key().alias("row_key")), path, "row_key")
@@ -108,6 +113,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.type").alias("record_type"), F.when(again, page("original.metadata")).alias("refers_to"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_collocations.collocations(table(spark, sf_dir).select("text", "lang"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,4 +125,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_quality_rules, op3_token_files, op4_simhash, op5_personal_data, op6_mixing, op7_exact_dedup,
-    op8_suffix_tree, op9_bpe, op10_quality_model, op12_warc, pipeline)}
+    op8_suffix_tree, op9_bpe, op10_quality_model, op11_alignment_measures, op12_warc, op13_phrases, pipeline)}

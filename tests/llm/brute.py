@@ -143,3 +143,61 @@ def base_scores(rows):
         out.append((doc_id, remainder(doc_id, 7) == 2, len(t), sum(counts[x] > 0 for x in t), n,
                     sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in t)))
     return out
+
+
+def alignment(rows, tokenizer, model):
+    """doc_id -> n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; ``tokenizer`` treats special tokens as text."""
+    from cohortlens.llm.op09_bpe import byte_letters
+
+    letters, docs, counts = byte_letters(), [], Counter()
+    for doc_id, text in rows:
+        links, groups = [], []
+        if text:
+            whole = (" " + text).encode()
+            a, b = tokenizer.encode(" " + text, add_special_tokens=False).ids, model.encode(text)
+            raw_a = [bytes(letters[c] for c in tokenizer.id_to_token(i)) for i in a]
+            pieces = [model.id_to_piece(i) for i in b]
+            raw_b = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(b, pieces)]
+            if b"".join(raw_a) == whole == b"".join(raw_b):
+                end_a, end_b = np.cumsum([len(x) for x in raw_a]).tolist(), np.cumsum([len(x) for x in raw_b]).tolist()
+                borders, i, j = sorted(set(end_a) & set(end_b)), 0, 0
+                for border in borders:
+                    x, y = end_a.index(border, i) + 1, end_b.index(border, j) + 1
+                    groups.append((a[i:x], b[j:y]))
+                    i, j = x, y
+                links = [(p, q) for x, y in groups for p in x for q in y]
+        docs.append((doc_id, groups, links))
+        counts.update(set(links))
+    best = defaultdict(int)
+    for (p, _), c in counts.items():
+        best[p] = max(best[p], c)
+    out = {}
+    for doc_id, groups, links in docs:
+        line = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        out[doc_id] = (sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(links),
+                       sum(counts[k] == best[k[0]] for k in links), sum(counts[k] for k in links),
+                       hashlib.sha256(line.encode()).hexdigest() if groups else "")
+    return out
+
+
+def phrases(rows, least=10, top=2000):
+    """Collocations of (text, lang) rows, as rows of lang, rank, phrase, a, l, r, n, score."""
+    counts, sizes, out = defaultdict(Counter), Counter(), []
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text)):
+            w = [x for x in re.split("[ \t]", piece) if x]
+            sizes["und" if lang is None else lang] += len(w)
+            for n in (1, 2, 3):
+                counts["und" if lang is None else lang].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    for lang, f in counts.items():
+        found = []
+        for p, a in f.items():
+            if len(p) < 2 or a < least:
+                continue
+            if len(p) == 2 and any(100 * c >= 50 * a for q, c in f.items() if len(q) == 3 and c >= least and p in (q[:2], q[1:])):
+                continue
+            score, k = min((1000000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, p, l, r) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, l, r, sizes[lang], -score))
+    return sorted(out)
