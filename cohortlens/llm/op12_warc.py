@@ -76,7 +76,8 @@ def write(pages: DataFrame, path: str, key: str, page_id: str = "page_id", url:
     when the rows are read again (``row_key``)."""
     rows = pages.select(F.col(key).alias("key"), F.col(page_id).cast("string").alias("id"), F.col(url).alias("url"),
                         F.coalesce(F.col(payload), F.lit("")).alias("body"))
-    told = rows.join(revisits(pages, key, page_id, payload, least), "key", "left")
+    # Stored first: Spark then knows its size, and payloads stay where they are if it is small enough to be sent to them.
+    told = rows.join(stored(revisits(pages, key, page_id, payload, least), "revisits"), "key", "left")
     uri = F.regexp_replace("url", "\r", "%0D")
     for mark, code in (("\n", "%0A"), (" ", "%20"), ("\t", "%09")):
         uri = F.replace(uri, F.lit(mark), F.lit(code))
