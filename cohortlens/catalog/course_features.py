@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from cohortlens.catalog.registry import query
+from cohortlens.catalog.registry import ORACLE, query
 from cohortlens.catalog.scalars import SUBJECT_SQL
 from cohortlens.catalog.windows import trend_ctes
 from cohortlens.functions.codes import CLUSTERS
+from cohortlens.functions.nulls import zero
 from cohortlens.operators.reshape import calendar
 from cohortlens.plans import courses as c
 from cohortlens.plans import terms as t
+from cohortlens.sources.scan import work_folder
 
 FILLED = """
 n1 AS (SELECT * REPLACE (CASE WHEN regexp_full_match(course_num,'[0-9]{3}L') THEN substr(course_num,1,3) ELSE course_num END AS course_num) FROM enrolment_v),
@@ -282,3 +284,62 @@ def training_rows(r):
     eligible = c.eligible_enrolments(e)
     repeats = c.repeat_grades(eligible.select(*c.SECTION), c.graded(keyed(r)).where("w > 0"))
     return c.training_rows(eligible, [c.section_predictors(e), repeats], COLLEGES, COLLEGES[0], 2000)
+
+
+PAIRS = [(x, y) for x in CLUSTERS for y in CLUSTERS]
+PROGRAM = """SELECT student, strm, max(source % 9)::BIGINT AS cip, max(CASE deglvl WHEN 'AA&S' THEN 0 WHEN 'AAS' THEN 1 WHEN 'CERT' THEN 2 WHEN 'CSC' THEN 3 ELSE 4 END) AS degree_level
+  FROM snapshot_v GROUP BY student, strm"""
+TERM_COLUMNS = ["first_ind", *BLOCKS]
+CIPS, DEGREES = range(1, 9), range(4)
+
+
+def _program(r):
+    """Program code (0 for none) and credential level (4 for none) of each student-term."""
+    level = F.coalesce(*[F.when(F.col("deglvl") == v, i) for i, v in enumerate(["AA&S", "AAS", "CERT", "CSC"])], F.lit(4))
+    return r.snapshots.groupBy("student", "strm").agg(F.max(F.col("source") % 9).alias("cip"), F.max(level).alias("degree_level"))
+
+
+def training(r, least_share=0.0):
+    """The course-level training table of all four blocks, its level dictionary and the report of its assembly."""
+    e = r.enrolment
+    eligible = c.eligible_enrolments(e)
+    pairs = c.cluster_history(_cluster_target(r), c.graded(e).where("w > 0")).drop("subject", "cluster")
+    terms = term_predictors(r).select("student", "strm", *[zero(F.col(x)).alias(x) for x in TERM_COLUMNS]).join(_program(r), ["student", "strm"])
+    courses = section_predictors(r).join(prerequisite_and_repeat(r), c.SECTION)
+    blocks = {"course": (courses, c.SECTION), "concurrent": (concurrent_difficulty(r), ["student", "strm", "college", "course"]),
+              "term": (terms, ["student", "strm"]), "cluster": (pairs, c.SECTION),
+              "instructor": (c.instructor_block(_sections(r), past_average_grade(r)), ["strm", "college", "course", "section"])}
+    return c.training_table(eligible, blocks, {"college": COLLEGES[0], "cip": 0, "degree_level": 4}, 2000, work_folder(r.spark), least_share)
+
+
+@query("l32_training_table", f"""
+WITH el AS ({ORACLE['l01_eligible_enrolments']}), sp AS ({ORACLE['l18_section_predictors']}), pg AS ({ORACLE['l27_prerequisite_and_repeat']}),
+cd AS ({ORACLE['l28_concurrent_difficulty']}), tp AS ({ORACLE['l30_term_predictors']}), cl AS ({ORACLE['l29_cluster_history']}), it AS ({ORACLE['l21_instructor_table']}),
+pa AS ({ORACLE['l22_past_average_grade']}), pr AS ({PROGRAM})
+SELECT student, strm, college, course, section, (el.grade IN ('A','B','C'))::INT AS passed, sp.size, sp.eve_ind, sp.online_ind, sp.lvl2_ind, has_prereq_grade, prereq_grade, has_repeat_grade, repeat_grade,
+ has_avg_g_concurrent, avg_g_concurrent, {', '.join(f'coalesce({x}, 0) AS {x}' for x in TERM_COLUMNS)},
+ {', '.join(f"CASE WHEN cluster='{y}' THEN {x} ELSE 0 END AS {x}_{y}, CASE WHEN cluster='{y}' THEN {x}_grade ELSE 0 END AS {x}_{y}_grade" for x, y in PAIRS)},
+ full_time, tenure, coalesce(has_past_avg_grade, 0) AS has_past_avg_grade, coalesce(past_avg_grade, 0) AS past_avg_grade,
+ {', '.join(f"(college='{n}')::INT AS college_{n.lower()}" for n in COLLEGES[1:])}, {', '.join(f"(cip={k})::INT AS cip_{k}" for k in CIPS)},
+ {', '.join(f"(degree_level={k})::INT AS degree_level_{k}" for k in DEGREES)}, (strm>=2000)::INT AS valid
+FROM el JOIN sp USING (student, strm, college, course, section) JOIN pg USING (student, strm, college, course, section) JOIN cd USING (student, strm, college, course)
+JOIN tp USING (student, strm) JOIN pr USING (student, strm) JOIN (SELECT * EXCLUDE (subject) FROM cl) cl USING (student, strm, college, course, section)
+JOIN it USING (strm, college, course, section) LEFT JOIN pa USING (instructor, college, course, strm)
+""")
+def training_table(r):
+    return training(r)[0]
+
+
+@query("l32_level_dictionary", f"""
+WITH x AS (SELECT college, cip::VARCHAR AS cip, degree_level::VARCHAR AS degree_level FROM ({ORACLE['l01_eligible_enrolments']}) JOIN ({PROGRAM}) USING (student, strm)),
+n AS (SELECT 'college' AS variable, college AS level, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'cip', cip, count(*) FROM x GROUP BY ALL
+  UNION ALL SELECT 'degree_level', degree_level, count(*) FROM x GROUP BY ALL),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY variable)::DOUBLE AS share FROM n)
+SELECT variable, level, n, share, CASE WHEN (variable, level) IN (('college', 'NATION_0'), ('cip', '0'), ('degree_level', '4')) THEN NULL
+ WHEN share < 0.05 THEN variable || '_rare' ELSE variable || '_' || lower(level) END AS "column" FROM s
+""")
+def level_dictionary(r):
+    from cohortlens.operators.levels import fit_levels
+
+    rows = c.eligible_enrolments(r.enrolment).join(_program(r), ["student", "strm"])
+    return fit_levels(rows, {"college": COLLEGES[0], "cip": 0, "degree_level": 4}, 0.05)

@@ -115,6 +115,22 @@ def code_lists(r):
     return r.snapshots.select("source", codes.degree_rank(d).alias("degree_rank"), codes.intended_rank(d).alias("intended"))
 
 
+_NAMES = list(codes.COLLEGE_CODES)
+
+
+@query("i11_college_codes", f"""
+WITH n AS (SELECT n_nationkey, [{', '.join(f"'{x}'" for x in [*_NAMES, 'Elsewhere'])}][n_nationkey % {len(_NAMES) + 1} + 1] AS college FROM nation),
+m AS (SELECT unnest([{', '.join(f"'{x}'" for x in _NAMES)}]) AS college, unnest([{', '.join(f"'{x}'" for x in codes.COLLEGE_CODES.values())}]) AS code)
+SELECT n.college, m.code, count(*) AS n FROM enrolment_v e JOIN n ON e.college = 'NATION_' || n.n_nationkey LEFT JOIN m ON m.college = n.college GROUP BY ALL
+""")
+def college_codes(r):
+    names = F.array(*[F.lit(x) for x in [*_NAMES, "Elsewhere"]])
+    key = F.substring_index("college", "_", -1).cast("int")
+    named = r.enrolment.select(F.get(names, key % (len(_NAMES) + 1)).alias("college"))
+    counts = named.groupBy("college").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("college", codes.college_code(F.col("college")).alias("code"), "n")
+
+
 @query("i11_subject_cluster", f"SELECT subject, {SUBJECT_SQL} AS cluster, count(*) AS n FROM enrolment_v GROUP BY ALL")
 def subject_cluster(r):
     return r.enrolment.groupBy("subject", codes.subject_cluster(F.col("subject")).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from cohortlens.catalog.aggregates import AID_TERMS
 from cohortlens.catalog.course_features import ATTEMPT, EARN, FILLED, PTS
 from cohortlens.catalog.joins import CALENDAR, SPELL_TERMS
 from cohortlens.catalog.registry import query
-from cohortlens.catalog.sql_parts import p_sql
+from cohortlens.catalog.sql_parts import t_sql
 from cohortlens.catalog.measures import OLS_SQL
 from cohortlens.functions.codes import GROUPS
 from cohortlens.functions.nulls import flag
@@ -17,6 +17,7 @@ from cohortlens.plans import aid as aidjobs
 from cohortlens.plans import external as ext
 from cohortlens.plans import measures as m
 from cohortlens.plans import students as st
+from cohortlens.sources.scan import work_folder
 
 KINDS = {"associate": ("AA&S", "AAS"), "certificate": ("CERT",), "diploma": ("CSC",)}
 
@@ -270,7 +271,7 @@ SELECT tt.*, wd.* EXCLUDE (student), grants_all, coalesce(ri,0) AS repeat_ind, (
 """)
 def student_features(r):
     aid = r.aid.groupBy("student").agg(F.sum("grants").alias("grants_all"))
-    return st.student_features(term_record_of(r), repeats_of(r), aid)
+    return st.student_features(st.student_tables(term_record_of(r), repeats_of(r), aid, work_folder(r.spark)))
 
 
 @query("l14_first_generation", """
@@ -375,7 +376,7 @@ def rates_by_program(r):
         *[(F.count_if(mine(g)) / F.count(F.lit(1))).alias(f"share_{g}") for g in GROUPS], F.count(F.lit(1)).alias("n")).where("n >= 50")
 
 
-@query("l33_share_on_rate", f"WITH {SCORED}, tb AS (SELECT home, avg(CASE WHEN grp='white' THEN y END) AS rate, sum((grp='afam')::INT)/count(*)::DOUBLE AS share FROM sc GROUP BY home) SELECT *, {p_sql('t')} AS p_value FROM (" + OLS_SQL.format(
+@query("l33_share_on_rate", f"WITH {SCORED}, tb AS (SELECT home, avg(CASE WHEN grp='white' THEN y END) AS rate, sum((grp='afam')::INT)/count(*)::DOUBLE AS share FROM sc GROUP BY home) SELECT *, {t_sql('t', '(n-2)')} AS p_value FROM (" + OLS_SQL.format(
     k="", y="share", x="rate", src="tb", g="") + ")")
 def share_on_rate(r):
     rows = _scored(r)

@@ -9,6 +9,15 @@ DEGREE_RANK = {"DIPL": 1, "CSC": 2, "CERT": 3}
 INTENDED_DEGREE_RANK = {"AA&S": 1, "AAS": 2, "CERT": 3, "CSC": 4}
 DEGREE_LEVELS = ["AA&S", "AAS", "CERT", "CSC"]
 
+# College name to short code.
+COLLEGE_CODES = {
+    "Blue Ridge": "BRCC", "Central Virginia": "CVCC", "Dabney S. Lancaster": "DSLCC", "Danville": "DCC", "Eastern Shore": "ESCC",
+    "Germanna": "GCC", "J. Sargeant Reynolds": "JSRCC", "John Tyler": "JTCC", "Lord Fairfax": "LFCC", "Mountain Empire": "MECC",
+    "New River": "NRCC", "Northern Virginia": "NVCC", "Patrick Henry": "PHCC", "Paul D. Camp": "PDCCC", "Piedmont Virginia": "PVCC",
+    "Rappahannock": "RCC", "Southside Virginia": "SSVCC", "Southwest Virginia": "SWVCC", "Thomas Nelson": "TNCC", "Tidewater": "TCC",
+    "Virginia Highlands": "VHCC", "Virginia Western": "VWCC", "Wytheville": "WCC",
+}
+
 # Enrolment status to intensity.
 STATUS_INTENSITY = {
     "Full-Time": 1.0, "Three-Quarter Time": 0.75, "Half-Time": 0.5, "Less than Half-Time": 0.25,
@@ -65,6 +74,11 @@ def subject_cluster(subject: Column) -> Column:
     return first_of(*cases, default=F.lit(OTHER_CLUSTER))
 
 
+def college_code(college: Column, codes=COLLEGE_CODES) -> Column:
+    """Short code of a college; a name that is not listed has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), college)
+
+
 def degree_rank(degree: Column) -> Column:
     """0 unknown, 1-3 by :data:`DEGREE_RANK`, 4 for any degree with an A in its code."""
     base = first_of(*[(degree == k, v) for k, v in DEGREE_RANK.items()], default=0)

@@ -12,7 +12,8 @@ def widen(df: DataFrame, ids, key: str, cols, levels, agg=F.max, fill=None) -> D
     wide = df.groupBy(*_cols(ids)).agg(*[
         agg(F.when(F.col(key) == v, F.col(c))).alias(f"{c}_{v}") for c in cols for v in levels
     ])
-    return wide if fill is None else wide.na.fill(fill)
+    # Only the new columns: an id that was filled would be another column to the planner, which would deal the rows again.
+    return wide if fill is None else wide.na.fill(fill, [f"{c}_{v}" for c in cols for v in levels])
 
 
 def lengthen(df: DataFrame, ids, stubs: dict, key: str) -> DataFrame:

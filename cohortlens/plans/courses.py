@@ -9,8 +9,10 @@ from cohortlens.functions import grades as g
 from cohortlens.functions.nulls import flag, in_list, is_true, ratio, zero
 from cohortlens.operators import windows as w
 from cohortlens.operators.aggs import pick, share_of, total_if, with_group_values, mode_by
-from cohortlens.operators.joins import assemble, lookup_fallback, own_totals_before, totals_before
+from cohortlens.operators.joins import assemble, assemble_checked, lookup_fallback, own_totals_before, totals_before
+from cohortlens.operators.levels import encode_levels, fit_levels
 from cohortlens.operators.rows import one_hot
+from cohortlens.sources.scan import sink
 
 
 def with_course(df: DataFrame) -> DataFrame:
@@ -38,23 +40,22 @@ def fill_grades(df: DataFrame) -> DataFrame:
     """A missing grade takes the only known grade of the same course taken by the student in the term,
     first within the college, then across colleges; lone rows without credit and grade are dropped.
 
-    The empty grade is a missing one; where nothing fills it, it stays as it came. Filling within a college adds
-    no new grade to the course, so the second rule can read its range from the per-college ranges: rows are counted
-    per grade first, and the ranges come from that reduced table.
+    The empty grade is a missing one; where nothing fills it, it stays as it came. Rows are dealt by student once: both rules
+    are windows within a student's course of a term, and what groups by student afterwards finds them in place.
     """
     df = df.withColumn("course_num", clean_course_number(F.col("course_num")))
     wide = ["student", "strm", "subject", "course_num"]
-    narrow = [*wide, "college"]
     known = F.nullif(F.col("grade"), F.lit(""))
-    marks = df.groupBy(*narrow, known.alias("__mark")).agg(F.count(F.lit(1)).alias("__n"))
-    ranges = marks.groupBy(*narrow).agg(F.min("__mark").alias("__lo"), F.max("__mark").alias("__hi"), F.sum("__n").alias("__n"))
-    colleges = Window.partitionBy(*wide)
-    ranges = ranges.withColumns({"__wlo": F.min("__lo").over(colleges), "__whi": F.max("__hi").over(colleges)})
+    course, anywhere = Window.partitionBy(*wide, "college"), Window.partitionBy(*wide)
+    rows = df.repartition("student").withColumn("__known", known)
+    rows = rows.withColumns({"__lo": F.min("__known").over(course), "__hi": F.max("__known").over(course), "__n": F.count(F.lit(1)).over(course)})
+    # Filling within a college adds no new grade to the course, so the second rule reads the grades as they came.
+    rows = rows.withColumns({"__wlo": F.min("__known").over(anywhere), "__whi": F.max("__known").over(anywhere)})
     only = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo"))
-    anywhere = F.when(F.col("__wlo") == F.col("__whi"), F.col("__wlo"))
-    rows = df.join(ranges, narrow).withColumn("__mark", F.coalesce(known, only))
-    rows = rows.where(~((F.col("credit") == 0) & (F.col("__n") == 1) & F.col("__mark").isNull()))
-    return rows.withColumn("grade", F.coalesce("__mark", anywhere, "grade")).select(*df.columns)
+    elsewhere = F.when(F.col("__wlo") == F.col("__whi"), F.col("__wlo"))
+    mark = F.coalesce("__known", only)
+    rows = rows.where(~((F.col("credit") == 0) & (F.col("__n") == 1) & mark.isNull()))
+    return rows.withColumn("grade", F.coalesce(mark, elsewhere, "grade")).select(*df.columns)
 
 
 def aggregate_courses(df: DataFrame, seed=1234) -> DataFrame:
@@ -249,3 +250,32 @@ def training_rows(eligible: DataFrame, blocks, colleges, baseline: str, valid_fr
     base = eligible.select(*SECTION, flag(F.col("grade").isin(g.PASSED_WELL)).alias("passed"))
     wide = one_hot(assemble(base, blocks, SECTION, "inner"), "college", colleges, baseline)
     return wide.withColumn("valid", flag(F.col("strm") >= valid_from))
+
+
+def instructor_block(sections: DataFrame, past: DataFrame) -> DataFrame:
+    """Per section: full-time flag, tenure and the past average grade of its instructor (0 and a flag without one).
+
+    ``sections`` as in :func:`instructor_table`; ``past`` from :func:`past_average_grade`.
+    """
+    full_time, tenure = instructor_table(sections)
+    keys = ["strm", "college", "course", "section"]
+    rows = tenure.join(full_time, keys).join(past, ["instructor", "college", "course", "strm"], "left")
+    return rows.select(*keys, "full_time", "tenure", zero(F.col("has_past_avg_grade")).alias("has_past_avg_grade"),
+                       zero(F.col("past_avg_grade")).alias("past_avg_grade"))
+
+
+def training_table(eligible: DataFrame, blocks: dict, baselines: dict, valid_from: int, folder: str, least_share: float = 0.0,
+                   unseen: str = "zero") -> tuple[DataFrame, DataFrame, dict]:
+    """The training and validation rows with all predictors: (table, level dictionary, report of the assembly).
+
+    ``blocks``: name -> (block, keys), joined to the eligible enrolments; rows that a block lacks are left out, and repeated
+    keys or missing values raise an error from the run that writes the table. ``baselines``: the variables whose levels
+    are found in the data (see ``fit_levels``); both parts get the columns of one stored dictionary. Blocks are written before they
+    are joined: each is a long job of its own, and the assembly a short plan over their files.
+    """
+    base = eligible.select(*SECTION, flag(F.col("grade").isin(g.PASSED_WELL)).alias("passed"))
+    written = {name: (sink(block, f"{folder}/{name}"), keys) for name, (block, keys) in blocks.items()}
+    table, report = assemble_checked(base, written, f"{folder}/assembled", SECTION)
+    levels = sink(fit_levels(table, baselines, least_share), f"{folder}/levels")
+    wide = encode_levels(table, levels, unseen, keep=True).drop(*[v for v in baselines if v not in SECTION])
+    return wide.withColumn("valid", flag(F.col("strm") >= valid_from)), levels, report

@@ -9,6 +9,7 @@ from cohortlens.functions.nulls import flag, in_list, is_true, ratio, zero
 from cohortlens.functions.terms import last_observed_term, nth_term, year_of
 from cohortlens.operators import windows as w
 from cohortlens.operators.aggs import latest_source, min_entropy, mode_by, pick, total, total_if
+from cohortlens.sources.buckets import bucketed
 
 
 def demographic_flags(snaps: DataFrame) -> DataFrame:
@@ -180,20 +181,32 @@ def student_totals(record: DataFrame) -> DataFrame:
         F.max("college_entropy").alias("college_entropy"))
 
 
-def student_features(record: DataFrame, repeats: DataFrame, aid_years: DataFrame, blocks=(), slots=None) -> DataFrame:
-    """Final student table: overall shares, term slots, log aid, repeat flag, and the slot-free attendance share."""
+def student_tables(record: DataFrame, repeats: DataFrame, aid_years: DataFrame, folder: str, buckets: int | None = None) -> dict:
+    """The tables that student features are made of, in buckets of the student: ``terms`` (the record of each term with its
+    repeated courses), ``repeats`` and ``aid``. Each is dealt by student once, when it is written."""
+    terms = record.join(repeats, ["student", "strm"], "left")
+    tables = {"terms": terms, "repeats": repeats, "aid": aid_years}
+    return {name: bucketed(table, f"{folder}/{name}", "student", buckets) for name, table in tables.items()}
+
+
+def student_features(tables: dict, blocks=(), slots=None) -> DataFrame:
+    """Final student table: overall shares, term slots, log aid, repeat flag, and the slot-free attendance share.
+
+    ``tables`` as :func:`student_tables` gives them. Everything here groups and joins by student, so on these buckets nothing is
+    shuffled; ``blocks`` are further tables of one row per student, in the same buckets if they are to cost no shuffle either.
+    """
     from cohortlens.functions.terms import SLOTS
     from cohortlens.operators.joins import assemble
     from cohortlens.operators.reshape import term_slots
 
     slots = slots or SLOTS
-    first = record.groupBy("student").agg(F.min("strm").alias("first"))
-    terms = record.join(repeats, ["student", "strm"], "left").withColumns(
-        {"repeat": zero(F.col("repeated")), "enrolled": F.lit(1), "prop_comp_term": ratio(F.col("term_cred_earn"), F.col("term_cred_att_2"))})
-    wide = term_slots(terms.join(first, "student"), "student", "first", "strm",
-                      ["enrolled", "term_cred_att", "term_gpa", "prop_comp_term", "repeat"], slots)
-    ever = repeats.groupBy("student").agg(flag(F.max("repeated") > 0).alias("repeat_ind"))
-    logged = aid_years.select("student", *[F.log1p(c).alias(c) for c in aid_years.columns if c != "student"])
+    record, aid = tables["terms"], tables["aid"]
+    terms = record.withColumns({
+        "repeat": zero(F.col("repeated")), "enrolled": F.lit(1), "prop_comp_term": ratio(F.col("term_cred_earn"), F.col("term_cred_att_2")),
+        "first": F.min("strm").over(Window.partitionBy("student"))})
+    wide = term_slots(terms, "student", "first", "strm", ["enrolled", "term_cred_att", "term_gpa", "prop_comp_term", "repeat"], slots)
+    ever = tables["repeats"].groupBy("student").agg(flag(F.max("repeated") > 0).alias("repeat_ind"))
+    logged = aid.select("student", *[F.log1p(c).alias(c) for c in aid.columns if c != "student"])
     out = assemble(student_totals(record), [wide, ever, logged, *blocks], "student")
     attended = sum((F.col(f"enrolled_{s}") for s in slots), F.lit(0))
     return out.withColumns({"repeat_ind": zero(F.col("repeat_ind")), "pct_enrolled": attended / F.lit(17.0)})
