@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cohortlens.catalog.registry import query
-from cohortlens.catalog.sql_parts import THRESHOLD, p_sql, versus, z_mean, z_prop
+from cohortlens.catalog.registry import ORACLE, query, with_views
+from cohortlens.catalog.sql_parts import THRESHOLD, p_sql, poisson_sql, t_sql, versus, z_mean, z_prop
 from cohortlens.plans import measures as m
 
 CUTS_SQL = "(" + " UNION ALL ".join(f"SELECT {c}::DOUBLE AS cut" for c in m.CUTS) + ")"
@@ -251,7 +251,7 @@ OLS_SQL = """SELECT {k}regr_count({y},{x})::BIGINT AS n, regr_slope({y},{x}) AS
   / nullif(regr_count({y},{x})-2,0) / nullif(regr_sxx({y},{x}),0)),0) AS t FROM {src} {g}"""
 
 
-@query("m21_ols_by_group", f"SELECT *, {p_sql('t')} AS p_value FROM (" + OLS_SQL.format(
+@query("m21_ols_by_group", f"SELECT *, {t_sql('t', '(n-2)')} AS p_value FROM (" + OLS_SQL.format(
     k="grp, ", y="y", x="score", src="scores_v", g="GROUP BY grp") + ")")
 def ols_by_group(r):
     return m.ols1(r.scores, "score", "y", "grp")
@@ -329,20 +329,17 @@ def rank_swap(r):
     return m.calibration_swap(r.scores.where("valid = 1"), exact_size=True)
 
 
-STEPS = " + ".join(f"CASE WHEN u >= {s} THEN 1 ELSE 0 END" for s in m.POISSON_STEPS)
-
-
 @query("m28_bootstrap_ci", f"""
 WITH src AS (SELECT * FROM scores_v WHERE valid=1), {_bins_sql(10)},
-d AS (SELECT grp, bin, y, k.pack, md5(concat_ws('#', id, '0', k.pack)) AS h FROM binned, (SELECT unnest(range(0,125)) AS pack) k),
-u AS (SELECT grp, bin, y, pack*8+s.s AS r, CAST('0x' || substr(h, 4*s.s+1, 4) AS INTEGER) AS u FROM d, (SELECT unnest(range(0,8)) AS s) s),
-w AS (SELECT grp, bin, r, sum(w) AS sw, sum(w*y) AS sx FROM (SELECT grp, bin, r, y, {STEPS} AS w FROM u) GROUP BY grp, bin, r),
-ci AS (SELECT grp, bin, quantile_cont(sx::DOUBLE/nullif(sw,0), 0.025::DOUBLE) AS low, quantile_cont(sx::DOUBLE/nullif(sw,0), 0.975::DOUBLE) AS high
-  FROM w GROUP BY grp, bin)
+d AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('#', grp, bin, y, '0', r)), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM (SELECT grp, bin, y, count(*) AS n FROM binned GROUP BY grp, bin, y), (SELECT unnest(range(0, 1000)) AS r)),
+{poisson_sql('d')},
+s AS (SELECT grp, bin, r, sum(w*y)::DOUBLE/nullif(sum(w),0) AS m FROM weighted GROUP BY grp, bin, r),
+ci AS (SELECT grp, bin, quantile_cont(m, 0.025::DOUBLE) AS low, quantile_cont(m, 0.975::DOUBLE) AS high FROM s GROUP BY grp, bin)
 SELECT grp, bin, n, mean, low, high FROM (SELECT grp, bin, count(*) AS n, avg(y) AS mean FROM binned GROUP BY grp, bin) JOIN ci USING (grp, bin)
 """)
 def bootstrap_ci(r):
-    return m.bootstrap_ci(m.with_bins(r.scores.where("valid = 1"), 10), ["grp", "bin"], "y", "id")
+    return m.bootstrap_ci(m.with_bins(r.scores.where("valid = 1"), 10), ["grp", "bin"], "y")
 
 
 @query("m29_pooled_segments", """
@@ -403,3 +400,29 @@ def compare_importance(r):
         return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("predictor"), F.col(c).alias("importance")) for c in GAP_COLS])).alias("r")).select("r.*")
 
     return m.compare_importance(importance("white"), importance("afam"))
+
+
+def _long_sql(name: str, values: dict, grp: str = "grp", at: str = "NULL::DOUBLE", where: str = "true") -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS measure, {grp} AS grp, ({at})::DOUBLE AS at, {c}::DOUBLE AS value FROM ({ORACLE[name]}) WHERE {where}" for k, c in values.items())
+
+
+@query("m_ledger_report", " UNION ALL ".join([
+    _long_sql("m08_auc_by_group", {"auc": "auc", "n": "n"}, where="valid=1"),
+    "SELECT 'auc', 'overall', NULL::DOUBLE, auc FROM (" + with_views(AUC_SQL.format(k="", p="1", src="scores_v WHERE valid=1", g="")) + ")",
+    _long_sql("m09_base_rate_threshold", {"threshold": "threshold"}, "'overall'"),
+    _long_sql("m11_success_rates", {k: k for k in ("actual_rate", "pred_rate", "p_actual", "p_pred")}),
+    _long_sql("m12_tpr_bias", {"tpr": "tpr", "p_tpr": "p_value"}),
+    _long_sql("m13_fpr_precision0_bias", {k: k for k in ("precision_0", "fpr", "p_precision_0", "p_fpr")}),
+    _long_sql("m14_bas_bias", {"balanced_accuracy": "balanced_accuracy", "p_balanced_accuracy": "p_value"}),
+    _long_sql("m15_score_bias", {"score_gap": "gap", "p_score_gap": "p_value"}, where="valid=1"),
+    _long_sql("m17_calibration_curve_10", {"calibration": "rate"}, at="pct"),
+    _long_sql("m20_precision0_tnr", {"precision_0_below": "precision_0", "tnr_below": "tnr"}, at="cut"),
+    " UNION ALL ".join(f"SELECT '{k}', 'overall', NULL::DOUBLE, {c} FROM (" + with_views(f"WITH f AS (SELECT *, 0 AS fold FROM scores_v WHERE valid=0), {PR_SQL} SELECT threshold, f1 FROM best") + ")"
+                       for k, c in (("pr_threshold", "threshold"), ("pr_f1", "f1")))]))
+def ledger_report(r):
+    """All group measures of a model from one scan of its scores."""
+    from cohortlens.plans import ledger as l
+    from cohortlens.sources.scan import work_folder
+
+    table = l.ledger(r.scores, ["valid", "grp"], work_folder(r.spark))
+    return l.report(table, F.col("valid") == 0, F.col("valid") == 1)

@@ -1,5 +1,6 @@
 """Small SQL text builders for the equivalent statements."""
 
+from cohortlens.functions.special import NORMAL_MIDDLE, NORMAL_TAIL, TAIL, WALKED
 from cohortlens.functions.stats import ERFC_COEFFICIENTS
 
 
@@ -13,6 +14,53 @@ def p_sql(z: str) -> str:
     return f"({t}*exp(-{a}*{a}+{poly}))"
 
 
+def t_sql(t: str, df: str) -> str:
+    """Two-sided p-value of Student's t: the continued fraction of the incomplete beta function."""
+    def fraction(a, b, x):
+        first = f"(1 / (1 - ({a} + {b}) * {x} / ({a} + 1)))"
+        even = f"(e.m * ({b} - e.m) * {x} / (({a} + 2 * e.m - 1) * ({a} + 2 * e.m)))"
+        odd = f"(-({a} + e.m) * ({a} + {b} + e.m) * {x} / (({a} + 2 * e.m) * ({a} + 2 * e.m + 1)))"
+        d1, c1 = f"(1 / (1 + {even} * acc.d))", f"(1 + {even} / acc.c)"
+        d2, c2 = f"(1 / (1 + {odd} * {d1}))", f"(1 + {odd} / {c1})"
+        steps = f"list_transform(range(0, 41 + 3 * ceil(sqrt(greatest({a}, {b})))::BIGINT), lambda k: {{'m': k::DOUBLE, 'c': 1::DOUBLE, 'd': {first}, 'h': {first}}})"
+        return f"(list_reduce({steps}, lambda acc, e: {{'m': e.m, 'c': {c2}, 'd': {d2}, 'h': acc.h * {d1} * {c1} * {d2} * {c2}}})).h"
+
+    a, s = f"({df} / 2::DOUBLE)", f"({t} * {t})"
+    x, rest = f"({df} / ({df} + {s}))", f"({s} / ({df} + {s}))"
+    front = f"exp(-{a} * ln(1 + {s} / {df}) + 0.5::DOUBLE * ln({rest}) - 0.5::DOUBLE * ln(pi()) + lgamma({a} + 0.5::DOUBLE) - lgamma({a}))"
+    half = "0.5::DOUBLE"
+    return (f"CASE WHEN {df} <= 0 OR {t} IS NULL THEN NULL WHEN {t} = 0 THEN 1 WHEN {x} < ({a} + 1) / ({a} + 2.5::DOUBLE) THEN {front} * {fraction(a, half, x)} / {a} "
+            f"ELSE 1 - {front} * {fraction(half, a, rest)} / {half} END")
+
+
+def polynomial_sql(x: str, coefficients) -> str:
+    out = f"({coefficients[0]!r}::DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {float(c)!r}::DOUBLE)"
+    return out
+
+
+def normal_quantile_sql(u: str) -> str:
+    def tail(p):
+        s = f"sqrt(-2 * ln({p}))"
+        return f"{polynomial_sql(s, NORMAL_TAIL[0])} / {polynomial_sql(s, NORMAL_TAIL[1])}"
+
+    q = f"({u} - 0.5::DOUBLE)"
+    middle = f"{q} * {polynomial_sql(f'({q} * {q})', NORMAL_MIDDLE[0])} / {polynomial_sql(f'({q} * {q})', NORMAL_MIDDLE[1])}"
+    return f"CASE WHEN {u} < {TAIL}::DOUBLE THEN {tail(u)} WHEN {u} > 1 - {TAIL}::DOUBLE THEN -({tail(f'(1 - {u})')}) ELSE {middle} END"
+
+
+def poisson_sql(draws: str) -> str:
+    """Common table expressions that add ``w`` to the columns of ``draws`` (n, a count, and u, uniform): table ``weighted``."""
+    return f"""pmf AS (SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto
+  FROM (SELECT n, unnest(range(0, 17 + (n + 8 * sqrt(n))::BIGINT)) AS k FROM (SELECT DISTINCT n FROM {draws} WHERE n <= {WALKED}))),
+low AS (SELECT n, list(upto ORDER BY k) AS steps FROM pmf GROUP BY n),
+far AS (SELECT *, {normal_quantile_sql('u')} AS z FROM {draws}),
+weighted AS (SELECT far.*, CASE WHEN far.n <= {WALKED} THEN len(list_filter(low.steps, lambda x: x < u)) ELSE
+  greatest(floor(far.n + sqrt(far.n) * z + 1 / 3::DOUBLE + z * z / 6 - (z / 36 + z * z * z / 72) / sqrt(far.n)
+  + {polynomial_sql('(z * z)', [1 / 270, 7 / 810, -8 / 405])} / far.n), 0) END::BIGINT AS w FROM far LEFT JOIN low USING (n))"""
+
+
 def z_prop(n1, p1, n2, p2) -> str:
     return (f"(({p2}-{p1})/nullif(sqrt({p2}*(1-{p2})/nullif({n2}-1,0)+{p1}*(1-{p1})/nullif({n1}-1,0)),0))")
 

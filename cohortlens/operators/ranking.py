@@ -44,9 +44,14 @@ def cumulate(df: DataFrame, by, x: str, sums: dict | None = None) -> DataFrame:
     Rows with a missing x are left out.
     """
     by, sums = _cols(by), sums or {}
-    names = ["n", *sums]
     per = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    return cumulate_counts(per, by, x, ["n", *sums])
+
+
+def cumulate_counts(per: DataFrame, by, x: str, names) -> DataFrame:
+    """As :func:`cumulate`, from rows that are counted already: one for each (by, x), with the counts ``names``."""
+    by, names = _cols(by), list(names)
     per = _with_ranges(per, x)
     totals = per.groupBy(*by, "__range").agg(*[F.sum(k).alias(f"__t_{k}") for k in names])
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,9 +7,12 @@ sorted in one task. Only cut points and thresholds (a handful of numbers) reach
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.nulls import ratio
+from cohortlens.functions.special import poisson_quantile, t_two_sided_p, uniform
 from cohortlens.functions.stats import p_means, p_proportions, two_sided_p
 from cohortlens.operators.aggs import _cols
 from cohortlens.operators.ranking import cumulate, ordinal_rank, quantiles
+from cohortlens.plans.swap import first_crossings
+from cohortlens.sources.scan import sink, work_folder
 
 # Quantile cuts of the bias tables.
 CUTS = [0.1, 0.2, 0.25, 0.3, 0.33, 0.4, 0.5, 0.6, 0.67, 0.7, 0.75, 0.8, 0.9]
@@ -187,8 +190,8 @@ def calibration_swap(df: DataFrame, cuts=CUTS, x: str = "score", ids="id", seed=
 
     Below each cut the reference group has n2 rows and the target group n1. The answer is the smallest
     j >= 2 for which the first n1 + j target rows succeed at least as often as the first n2 - j
-    reference rows. Running totals in rank order make both rates a look-up, so the search over j is an
-    equi-join on (cut, j) instead of a rescan per j.
+    reference rows. Running totals in rank order, stored once, make both rates a look-up, and only ranges of ranks in
+    which the rates can cross are looked at (see ``plans.swap``). One row for each cut reaches the driver.
     """
     pair = df.where(F.col("grp").isin(reference, target))
     if exact_size:
@@ -198,20 +201,13 @@ def calibration_swap(df: DataFrame, cuts=CUTS, x: str = "score", ids="id", seed=
         counts = _cut_counts(pair, x, cuts, edge_values(df, x, cuts))
     one = lambda g, c: F.max(F.when(F.col("grp") == g, F.col(c)))
     sizes = counts.groupBy("cut").agg(one(target, "n").alias("n1"), one(target, "p").alias("p1"),
-                                      one(reference, "n").alias("n2"), one(reference, "p").alias("p2"))
+                                      one(reference, "n").alias("n2"), one(reference, "p").alias("p2")).collect()
     ranked = ordinal_rank(pair, ["grp"], x, ids, seed, "k", {"y": "y"}).select("grp", "k", "cum_y")
-    listed = sizes.agg(F.collect_list(F.struct("cut", "n1", "n2"))).scalar()
-    spread = ranked.withColumn("__all", listed).select("grp", "k", "cum_y", F.explode("__all").alias("__c"))
-    is_ref = F.col("grp") == reference
-    j = F.when(is_ref, F.col("__c.n2") - F.col("k")).otherwise(F.col("k") - F.col("__c.n1"))
-    spread = spread.select("grp", F.col("__c.cut").alias("cut"), j.alias("j"), "k",
-                           (F.col("cum_y") / F.col("k")).alias("rate")).where("j >= 2")
-    ref = spread.where(is_ref).select("cut", "j", F.col("k").alias("nn2"), F.col("rate").alias("pp2"))
-    tgt = spread.where(~is_ref).select("cut", "j", F.col("k").alias("nn1"), F.col("rate").alias("pp1"))
-    best = tgt.join(ref, ["cut", "j"]).where("pp1 >= pp2").groupBy("cut").agg(
-        F.min_by(F.struct("nn1", "nn2", "pp1", "pp2"), "j").alias("__b"), F.min("j").alias("added"))
-    return sizes.join(best, "cut", "left").select("cut", "n1", "p1", "n2", "p2", "added", "__b.nn1", "__b.nn2",
-                                                  "__b.pp1", "__b.pp2")
+    ranked = sink(ranked, work_folder(df.sparkSession))
+    best = first_crossings(ranked, [(r["n1"], r["n2"]) for r in sizes], reference, target)
+    rows = [(*r, *(found or [None] * 5)) for r, found in zip(sizes, best)]
+    return df.sparkSession.createDataFrame(
+        rows, "cut double, n1 bigint, p1 double, n2 bigint, p2 double, added bigint, nn1 bigint, nn2 bigint, pp1 double, pp2 double")
 
 
 def precision0_tnr(df: DataFrame, cuts=CUTS, x: str = "score", groups=(REFERENCE, TARGET)) -> DataFrame:
@@ -276,19 +272,22 @@ def mcfadden(df: DataFrame, k: int, by=("grp",), score: str = "score", margin: f
 
 
 def predictor_gap(df: DataFrame, cols, groups=(REFERENCE, TARGET)) -> DataFrame:
-    """Difference of predictor means, and of missing rates, between two groups with unequal-variance tests."""
-    long = df.where(F.col("grp").isin(list(groups))).select("grp", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("predictor"), F.col(c).cast("double").alias("v")) for c in cols])).alias("__r")
-    ).select("grp", "__r.*")
-    missing = F.col("v").isNull().cast("double")
+    """Difference of predictor means, and of missing rates, between two groups with unequal-variance tests.
+
+    One aggregate by group has count, mean and variance of every predictor; predictors become rows behind it.
+    """
+    per = []
+    for c in cols:
+        v = F.col(c).cast("double")
+        per.append(F.struct(F.lit(c).alias("predictor"), F.count(v).alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("v")))
+    table = df.where(F.col("grp").isin(list(groups))).groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.array(*per).alias("__a"))
+    rows = table.select("grp", "k", F.explode("__a").alias("__r")).select("grp", "k", "__r.*")
+    # Missing or not is 0 or 1, so its variance follows from the share.
+    share = ratio(F.col("k") - F.col("n"), F.col("k"))
+    rows = rows.withColumn("q", share).withColumn("w", ratio(F.col("q") * (1 - F.col("q")) * F.col("k"), F.col("k") - 1))
     first, second = groups
-    stats = {}
-    for g in groups:
-        mine = F.col("grp") == g
-        stats |= {f"n_{g}": F.count_if(mine & F.col("v").isNotNull()), f"m_{g}": mean_if(F.col("v"), mine),
-                  f"v_{g}": F.var_samp(F.when(mine, F.col("v"))), f"k_{g}": F.count_if(mine),
-                  f"q_{g}": mean_if(missing, mine), f"w_{g}": F.var_samp(F.when(mine, missing))}
-    t = long.groupBy("predictor").agg(*[c.alias(n) for n, c in stats.items()])
+    stats = [F.max(F.when(F.col("grp") == g, F.col(c))).alias(f"{c}_{g}") for g in groups for c in ("n", "m", "v", "k", "q", "w")]
+    t = rows.groupBy("predictor").agg(*stats)
     z = lambda n, m, v: ratio(F.col(f"{m}_{second}") - F.col(f"{m}_{first}"), F.sqrt(
         ratio(F.col(f"{v}_{first}"), F.col(f"{n}_{first}")) + ratio(F.col(f"{v}_{second}"), F.col(f"{n}_{second}"))))
     return t.select(
@@ -299,50 +298,31 @@ def predictor_gap(df: DataFrame, cols, groups=(REFERENCE, TARGET)) -> DataFrame:
 
 
 def ols1(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
-    """One-variable least squares; the p-value uses the normal tail."""
+    """One-variable least squares with Student's t test of the slope; two rows or fewer have none."""
     n = F.regr_count(y, x)
     sse = F.regr_syy(y, x) - ratio(F.regr_sxy(y, x) * F.regr_sxy(y, x), F.regr_sxx(y, x))
     se = F.sqrt(ratio(sse, (n - 2)) / F.nullif(F.regr_sxx(y, x), F.lit(0.0)))
     t = ratio(F.regr_slope(y, x), se)
     return df.groupBy(*_cols(by)).agg(
         n.alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.regr_r2(y, x).alias("r2"), t.alias("t"), two_sided_p(t).alias("p_value"))
-
-
-# Cumulative Poisson(1) probabilities in units of 2^-16.
-POISSON_STEPS = [24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]
+        F.regr_r2(y, x).alias("r2"), t.alias("t"), n.alias("__n")).withColumn(
+        "p_value", t_two_sided_p(F.col("t"), F.col("__n") - 2)).drop("__n")
 
 
-def bootstrap_ci(df: DataFrame, by, x: str, ids, b: int = 1000, seed=0, level: float = 0.95) -> DataFrame:
-    """Poisson bootstrap interval of a group mean.
+def bootstrap_ci(df: DataFrame, by, x: str, ids=None, b: int = 1000, seed=0, level: float = 0.95) -> DataFrame:
+    """Poisson bootstrap interval of a group mean, drawn from the counts of the group's values.
 
-    A row's weight in replicate r comes from 16 bits of a seeded digest, so one digest serves eight
-    replicates. Replicates are added up next to the data before any shuffle; what moves is one partial
-    sum per group and replicate.
+    Rows of one group and value have independent Poisson weights of mean 1 in a replicate, so their sum is one Poisson draw whose
+    mean is their count. A replicate costs a draw for each value, whatever the number of rows; draws are quantiles of a seeded
+    digest of group, value and replicate. ``ids`` isn't needed: rows that agree in group and value are drawn together.
     """
     by = _cols(by)
-    packs = F.explode(F.sequence(F.lit(0), F.lit((b + 7) // 8 - 1))).alias("__pack")
-    digest = F.md5(F.concat_ws("#", *[F.col(i).cast("string") for i in _cols(ids)], F.lit(str(seed)),
-                               F.col("__pack").cast("string")))
-    draws = df.select(*by, x, *_cols(ids), packs).withColumn("__d", digest)
-
-    def weight(slot):
-        u = F.conv(F.substring(F.col("__d"), 4 * slot + 1, 4), 16, 10).cast("int")
-        w = F.lit(0)
-        for step in POISSON_STEPS:
-            w = w + (u >= step).cast("int")
-        return w
-
-    sums = []
-    for s in range(8):
-        w = weight(s)
-        sums += [F.sum(w).alias(f"__w{s}"), F.sum(w * F.col(x)).alias(f"__x{s}")]
-    totals = draws.groupBy(*by, "__pack").agg(*sums)
-    means = totals.select(*by, F.explode(F.array(*[
-        F.struct((F.col("__pack") * 8 + s).alias("r"), ratio(F.col(f"__x{s}"), F.col(f"__w{s}")).alias("m"))
-        for s in range(8)])).alias("__m")).where(F.col("__m.r") < b)
+    values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("__n"))
+    draws = values.select(*by, x, "__n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("__r"))
+    weight = poisson_quantile(uniform(*[F.col(c) for c in by], F.col(x), F.lit(str(seed)), F.col("__r")), F.col("__n"))
+    means = draws.withColumn("__w", weight).groupBy(*by, "__r").agg(ratio(F.sum(F.col("__w") * F.col(x)), F.sum("__w")).alias("__m"))
     tail = (1 - level) / 2
-    ci = means.groupBy(*by).agg(F.percentile("__m.m", F.lit([tail, 1 - tail])).alias("__ci"))
+    ci = means.groupBy(*by).agg(F.percentile("__m", F.lit([tail, 1 - tail])).alias("__ci"))
     point = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"))
     return point.join(ci, by).select(*by, "n", "mean", F.col("__ci")[0].alias("low"), F.col("__ci")[1].alias("high"))
 
