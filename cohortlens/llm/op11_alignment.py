@@ -33,7 +33,7 @@ from cohortlens.llm.common import stored
 from cohortlens.llm.op09_bpe import PATTERN, byte_letters
 
 #: Bytes of text, and different pieces, of a chunk; links of a group from which it is summed by its different ids.
-CHUNK, PIECES, LONG = 24 << 20, 400_000, 1 << 12
+CHUNK, PIECES, LONG = 8 << 20, 200_000, 1 << 12
 _CUT = regex.compile(r"(?<=\S)(?=\x20)", regex.V1)
 _RUN = regex.compile(r"\s\x20")
 
@@ -250,10 +250,12 @@ class Chunk:
         columns = list(zip(*self.rows))
         kinds = [pa.binary(), *[pa.int64()] * 4, pa.string(), pa.int32()]
         joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind).tobytes()
+        times = np.concatenate([np.zeros(0, np.int64), *self.times])
+        more = np.flatnonzero(times != 1)  # almost all links are single
         return pa.RecordBatch.from_arrays([
             pa.array([number]), *[one(c, k) for c, k in zip(columns, kinds)],
-            *[pa.array([x], pa.binary()) for x in (joined(self.stream, np.int32), joined(self.links, np.int32), joined(self.times, np.int64),
-                                                   np.frombuffer(self.lengths, np.int64).astype(np.int32).tobytes())],
+            *[pa.array([x], pa.binary()) for x in (joined(self.stream, np.int32), joined(self.links, np.int32), more.astype(np.int32).tobytes(),
+                                                   times[more].tobytes(), np.frombuffer(self.lengths, np.int64).astype(np.int32).tobytes())],
             one(np.fromiter(self.pairs, np.int64, len(self.pairs)), pa.int64()), one(self.docs[: len(self.pairs)], pa.int64())], names=_NAMES)
 
 
@@ -265,7 +267,7 @@ def _distinct(values: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 _SCHEMA = ("chunk bigint, digest array<binary>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
-           "groups array<string>, n_pieces array<int>, stream binary, links binary, times binary, lengths binary, pairs array<bigint>, docs array<bigint>")
+           "groups array<string>, n_pieces array<int>, stream binary, links binary, more_at binary, more binary, lengths binary, pairs array<bigint>, docs array<bigint>")
 _NAMES = [x.split(" ")[0] for x in _SCHEMA.split(", ")]
 
 
@@ -319,8 +321,9 @@ def text_measures(parts: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 r = {name: batch.column(name)[k] for name in batch.schema.names}
-                stream, links, lengths = (np.frombuffer(r[c].as_buffer(), np.int32) for c in ("stream", "links", "lengths"))
-                times, stops = np.frombuffer(r["times"].as_buffer(), np.int64), np.cumsum(lengths, dtype=np.int64)
+                stream, links, lengths, more_at = (np.frombuffer(r[c].as_buffer(), np.int32) for c in ("stream", "links", "lengths", "more_at"))
+                times, stops = np.ones(len(links), np.int64), np.cumsum(lengths, dtype=np.int64)
+                times[more_at] = np.frombuffer(r["more"].as_buffer(), np.int64)
                 n = len(r["place"].values) if r["place"].is_valid else 0
                 count, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
                 if n:
