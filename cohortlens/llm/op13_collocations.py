@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlens.llm.common import bytes_of, stored
 
 #: Tokens and different words of a chunk, entries of a shard before merging.
-CHUNK, WORDS, SHARD = 4_000_000, 600_000, 1_000_000
+CHUNK, WORDS, SHARD = 2_500_000, 400_000, 1_000_000
 LEAST, TOP, UNKNOWN = 10, 2000, "und"
 
 #: Marks that end a piece; between them words are split at space and tab. 0xFF is in no UTF-8 text.
@@ -149,11 +149,11 @@ def unpack(lanes: list[np.ndarray], n: int, bits: int) -> list[np.ndarray]:
 
 
 def summed(lanes: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Numbers in ascending order, each once, with the sums of their counts."""
+    """Numbers in ascending order, each once, with the sums of their counts. A single lane without counts is sorted in place."""
     if not len(lanes[0]):
         return lanes, np.zeros(0, np.int64)
     if counts is None and len(lanes) == 1:
-        lanes = [np.sort(lanes[0])]
+        lanes[0].sort()
     else:  # stable sorting makes use of filters being in order already
         order = np.lexsort(lanes[::-1]) if len(lanes) > 1 else np.argsort(lanes[0], kind="stable")
         lanes, counts = [x[order] for x in lanes], None if counts is None else counts[order]
@@ -270,8 +270,9 @@ def shard_bits(words: int, partitions: int, per_shard: int = SHARD) -> int:
 def chunk_filters(ids: np.ndarray, n: int, bits: int, shards: int):
     """(shard, filter) of the n-grams of a chunk's ids; 0 is no word."""
     places = [ids[k : len(ids) - n + 1 + k] for k in range(n)]
-    whole = np.flatnonzero(np.logical_and.reduce([p > 0 for p in places])) if len(ids) >= n else np.zeros(0, np.int64)
+    whole = np.logical_and.reduce([p > 0 for p in places]) if len(ids) >= n else np.zeros(len(places[0]), bool)
     lanes, widths = pack([p[whole] for p in places], bits)
+    del places, whole
     lanes, counts = summed(permute(lanes, widths))
     kept = widths[0] - min(shards, widths[0])
     shard = (lanes[0] >> np.uint64(kept)).astype(np.int64)
