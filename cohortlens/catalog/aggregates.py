@@ -197,6 +197,21 @@ def sample_counts(r):
         F.count_distinct(F.struct(F.col("college"), course)).alias("college_courses"))
 
 
+@query("d17_distinct_by_year", """
+WITH e AS (SELECT (strm // 10)::BIGINT AS year, student, instructor FROM enrolment_v), l AS (SELECT year, 'student' AS variable, student AS id FROM e UNION ALL SELECT year, 'instructor', instructor FROM e)
+SELECT year, variable, count(DISTINCT id) AS n FROM l GROUP BY GROUPING SETS ((year, variable), (variable))
+""")
+def distinct_by_year(r):
+    """Students and instructors by year and in all, from one set of stored bitmaps."""
+    from cohortlens.operators.bitmaps import distinct_counts, distinct_parts
+    from cohortlens.sources.scan import sink, work_folder
+
+    rows = r.enrolment.withColumn("year", F.floor(F.col("strm") / 10))
+    parts = sink(distinct_parts(rows, "year", ["student", "instructor"]), work_folder(r.spark))
+    total = distinct_counts(parts).withColumn("year", F.lit(None).cast("bigint"))
+    return distinct_counts(parts, "year").unionByName(total)
+
+
 @query("d18_rate_by", """
 SELECT 'all' AS part, avg(y) AS rate, count(*) AS n FROM scores_v UNION ALL SELECT CASE valid WHEN 0 THEN 'train' ELSE 'test' END, avg(y), count(*) FROM scores_v GROUP BY valid
 """)
