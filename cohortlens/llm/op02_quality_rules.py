@@ -138,8 +138,10 @@ def fit_label_model(features: DataFrame, rules=RULES, rounds: int = 25) -> Label
 
 
 def with_verdict(features: DataFrame, model: LabelModel, rules=RULES, least: float = 0.5) -> DataFrame:
-    """Adds the votes, ``p_good``, ``base_failed`` and ``kept``."""
-    names = [f"vote_{r.name}" for r in rules]
+    """Adds the votes (``vote_<rule>``, with an underscore behind the name where the input has such a column), ``p_good``, ``base_failed`` and
+    ``kept``; equally named columns of the input are replaced by the last three."""
+    features = features.drop("p_good", "base_failed", "kept")
+    names = fresh(features, *[f"vote_{r.name}" for r in rules])
     voted = features.select("*", *[vote(r).alias(n) for r, n in zip(rules, names)])
     return voted.withColumn("p_good", F.expr(posterior_sql(model, names))).withColumn(
         "base_failed", F.expr(BASE_FAILED)).withColumn("kept", F.expr(f"NOT base_failed AND p_good >= {least}D"))

@@ -9,20 +9,25 @@ ascending order of ``-ln(u) / quality``, u being uniform and taken from a digest
 without replacement. A document is taken if more than half of it lies below the budget in the running sum of sizes, so the sum
 ends within half a document of the target. No randomness depends on partitions or runs.
 
-Running sums over a source that holds any share of the rows: keys are cut into ``BUCKETS`` ranges, fixed for the exponential
-distribution; totals for each (source, range) give what stands before a range, and only inside a range are rows ordered. The
-tables of sources and of ranges are small against the rows; rows are shuffled once.
+Running sums over a source that holds any share of the rows: keys are cut into ranges at approximate quantiles of the keys
+themselves, so that no range is much larger than another whatever the qualities are, one for about ``ROWS`` rows; totals for each
+(source, range) give what stands before a range, and only inside a range are rows ordered. The tables of sources and of ranges
+are small against the rows; rows are shuffled once.
 
 Defined cases: a missing or blank text has size 0 and is never taken in the rest; a source of empty texts has target 0; ties
-of the key are ordered by id, rows that agree in both are taken in any order (they differ in size alone); rows without an id
-share one key; an empty table gives an empty result.
+of the key are ordered by id, then by ``tie`` (a hash of the text), then by size, so only rows that agree in all of these are
+interchangeable; rows without an id have keys of their own from ``tie``; columns of the input named ``source_size``, ``target`` or
+``epochs`` are replaced, others stay; an empty table gives an empty result.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.llm.common import WORD_CLASS, stored
+from cohortlens.llm.common import WORD_CLASS, fresh, stored
+from cohortlens.operators.ranking import edges_below
 
-MOST, SEED, BUCKETS = 3, 7, 1024
+MOST, SEED = 3, 7
+#: Rows of a range, about, and ranges at most.
+ROWS, RANGES = 50_000, 1 << 11
 #: Symbols and digits that speak against a text.
 MARKS = "0123456789#*$%&|<>!=_@\\^~"
 
@@ -38,6 +43,11 @@ def quality(text: str = "text") -> Column:
     return F.greatest(F.lit(0.1), F.coalesce(kept, F.lit(0.1)))
 
 
+def tie(text: str = "text") -> Column:
+    """Tells rows apart that have the same id or none."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     """(source, source_size) with ``target``; a row for each source."""
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -58,23 +68,30 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
         (most * F.col("source_size")).cast("double")).alias("target"))
 
 
-def sample(sized: DataFrame, most: int = MOST, seed: int = SEED, doc_id: str = "doc_id") -> DataFrame:
-    """``sized`` (an id, source, size, quality; stored) with source_size, target and ``epochs``: how often a document is
-    taken."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def sample(sized: DataFrame, most: int = MOST, seed: int = SEED, doc_id: str = "doc_id", tie: str = "tie") -> DataFrame:
+    """``sized`` (an id, source, size, quality and, if ids may be missing or repeated, ``tie``; stored) with source_size, target
+    and ``epochs``: how often a document is taken."""
+    sized = sized.drop("source_size", "target", "epochs")
+    key, place, upto_, s, r = fresh(sized, "key_", "range_", "upto_", "s_", "r_")
+    apart = F.col(tie) if tie in sized.columns else F.lit(0).cast("long")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("#"), apart.cast("string")))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    keyed = sized.withColumn("key", -F.log(u) / F.col("quality"))
-    keyed = keyed.withColumn("range", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
-    ranges = stored(keyed.groupBy("source", "range").agg(F.sum("size").alias("n")), "ranges")
+    keyed = sized.withColumn(key, -F.log(u) / F.col("quality"))
+    n = 1 << min(RANGES, max(8, sized.count() // ROWS)).bit_length()
+    cuts = keyed.agg(F.percentile_approx(key, [k / n for k in range(1, n)], max(10_000, 4 * n)).alias("c")).first()["c"] or []
+    # As many as a power of two less one, which the binary search takes; an empty table needs none.
+    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else None
+    keyed = keyed.withColumn(place, F.lit(0) if edges is None else edges_below(F.col(key), edges, len(cuts)))
+    ranges = stored(keyed.groupBy("source", place).agg(F.sum("size").alias("n")), "ranges")
     plan = targets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")), most)
-    before = ranges.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).drop("n")
+    before = ranges.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy(place)) - F.col("n")).drop("n")
     limits = stored(before.join(plan, before["source"].eqNullSafe(plan["source"])).select(
-        before["source"].alias("s"), F.col("range").alias("r"), "before", "source_size", "target"), "limits")
-    rows = keyed.join(limits, keyed["source"].eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    inside = Window.partitionBy("source", "range").orderBy("key", doc_id, "size")
-    upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+        before["source"].alias(s), F.col(place).alias(r), F.col("before").alias(upto_), "source_size", "target"), "limits")
+    rows = keyed.join(limits, keyed["source"].eqNullSafe(F.col(s)) & (F.col(place) == F.col(r)))
+    inside = Window.partitionBy("source", place).orderBy(key, doc_id, apart, "size")
+    upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col(upto_)
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     budget = F.col("target") - whole * F.col("source_size")
-    taken = (F.col("size") > 0) & (2 * (F.col("upto") - F.col("size")) + F.col("size") < 2 * budget)
-    return rows.withColumn("upto", upto).withColumn("epochs", (whole + taken.cast("int")).cast("int")).drop(
-        "upto", "before", "range", "key")
+    rows = rows.withColumn(upto_, upto)
+    taken = (F.col("size") > 0) & (2 * (F.col(upto_) - F.col("size")) + F.col("size") < 2 * budget)
+    return rows.withColumn("epochs", (whole + taken.cast("int")).cast("int")).drop(key, place, upto_, s, r)

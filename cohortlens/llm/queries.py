@@ -60,7 +60,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stored(table(spark, sf_dir).select(
-        "doc_id", "source", op06_mixing.words().alias("size"), op06_mixing.quality().alias("quality")), "sized")
+        "doc_id", "source", op06_mixing.words().alias("size"), op06_mixing.quality().alias("quality"), op06_mixing.tie().alias("tie")), "sized")
     return op06_mixing.sample(sized).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"))
 
