@@ -47,7 +47,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     number, times, n = fresh(docs, "number_", "times_", "n_")
     rows = numbered(docs, number)
-    sized = stored(rows.select(number, "doc_id", "source", op06_mixing.words().alias("size"), op06_mixing.quality().alias("quality")), "sized")
+    sized = stored(rows.select(number, "doc_id", "source", op06_mixing.words().alias("size"), op06_mixing.quality().alias("quality"),
+                               op06_mixing.tie().alias("tie")), "sized")
     mixed = op06_mixing.sample(sized).where("epochs > 0").select(number, F.col("epochs").alias(times))
     joined = rows.join(mixed, number)
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(n)).select(*docs.columns)
