@@ -309,7 +309,7 @@ def training(r, least_share=0.0):
     blocks = {"course": (courses, c.SECTION), "concurrent": (concurrent_difficulty(r), ["student", "strm", "college", "course"]),
               "term": (terms, ["student", "strm"]), "cluster": (pairs, c.SECTION),
               "instructor": (c.instructor_block(_sections(r), past_average_grade(r)), ["strm", "college", "course", "section"])}
-    return c.training_table(eligible, blocks, {"college": COLLEGES[0], "cip": 0, "degree_level": 4}, 2000, work_folder(r.spark), least_share)
+    return c.training_table(eligible, blocks, COLLEGES, {"cip": 0, "degree_level": 4}, 2000, work_folder(r.spark), least_share)
 
 
 @query("l32_training_table", f"""

@@ -264,18 +264,19 @@ def instructor_block(sections: DataFrame, past: DataFrame) -> DataFrame:
                        zero(F.col("past_avg_grade")).alias("past_avg_grade"))
 
 
-def training_table(eligible: DataFrame, blocks: dict, baselines: dict, valid_from: int, folder: str, least_share: float = 0.0,
+def training_table(eligible: DataFrame, blocks: dict, colleges, baselines: dict, valid_from: int, folder: str, least_share: float = 0.0,
                    unseen: str = "zero") -> tuple[DataFrame, DataFrame, dict]:
     """The training and validation rows with all predictors: (table, level dictionary, report of the assembly).
 
     ``blocks``: name -> (block, keys), joined to the eligible enrolments; rows that a block lacks are left out, and repeated
-    keys or missing values raise an error from the run that writes the table. ``baselines``: the variables whose levels
-    are found in the data (see ``fit_levels``); both parts get the columns of one stored dictionary. Blocks are written before they
-    are joined: each is a long job of its own, and the assembly a short plan over their files.
+    keys or missing values raise an error from the run that writes the table. ``colleges`` is a fixed list, the first one the
+    baseline. ``baselines``: the variables whose levels are found in the data (see ``fit_levels``); both parts get the columns
+    of one stored dictionary. Blocks are written before they are joined: each is a long job of its own, and the assembly a
+    short plan over their files.
     """
     base = eligible.select(*SECTION, flag(F.col("grade").isin(g.PASSED_WELL)).alias("passed"))
     written = {name: (sink(block, f"{folder}/{name}"), keys) for name, (block, keys) in blocks.items()}
     table, report = assemble_checked(base, written, f"{folder}/assembled", SECTION)
     levels = sink(fit_levels(table, baselines, least_share), f"{folder}/levels")
-    wide = encode_levels(table, levels, unseen, keep=True).drop(*[v for v in baselines if v not in SECTION])
+    wide = encode_levels(one_hot(table, "college", colleges, colleges[0]), levels, unseen)
     return wide.withColumn("valid", flag(F.col("strm") >= valid_from)), levels, report
