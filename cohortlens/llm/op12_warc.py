@@ -101,7 +101,7 @@ def write(pages: DataFrame, path: str, key: str, page_id: str = "page_id", url:
         F.lit("metadata"), _uuid("metadata", F.col("key")), F.concat(_lines(F.lit("fetchTimeMs: 0"), _field("page-id", F.col("id"))), F.lit("\r\n")),
         F.lit("application/warc-fields"), date, target, _field("WARC-Concurrent-To", answer))
     told.select(F.explode(F.array(response, request, metadata)).alias("value")).write.option("lineSep", END).option(
-        "compression", "gzip").text(path)
+        "compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 class Cutter:
