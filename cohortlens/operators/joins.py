@@ -6,7 +6,7 @@ skewed shuffle partitions.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.nulls import is_true
 from cohortlens.sources.contracts import assert_no_nulls, assert_unique, write_checked
@@ -119,7 +119,7 @@ def assemble(base: DataFrame, blocks, on, how: str = "left", complete: bool = Fa
 
 
 def assemble_checked(base: DataFrame, blocks: dict, path: str, unique, required: bool = True, complete: bool = True) -> tuple[DataFrame, dict]:
-    """Join feature blocks to ``base``, write the table and check it in that one run.
+    """Join feature blocks to ``base``, write the table and check what was written.
 
     ``blocks``: name -> (block, key columns). With ``required`` rows that a block lacks are left out; the report counts them as
     ``without <name>``. The result must have one row per ``unique`` key (a block with a repeated key shows there) and, with
@@ -133,13 +133,7 @@ def assemble_checked(base: DataFrame, blocks: dict, path: str, unique, required:
     whole = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in marks], F.lit(True))
     missing = {f"without {m[6:]}": F.col(m).isNull() for m in marks}
     columns = [c for c in wide.columns if c not in marks]
-    if not required:
-        return write_checked(wide, path, unique, columns if complete else (), missing, drop=marks)
-    # Counted before the rows go; the rest of the contract is about those that stay.
-    seen = Observation()
-    kept = wide.observe(seen, *[F.count_if(v).alias(k) for k, v in missing.items()]).where(is_true(whole)).drop(*marks)
-    table, report = write_checked(kept, path, unique, columns if complete else ())
-    return table, report | {k: (seen.get or {}).get(k) or 0 for k in missing}
+    return write_checked(wide, path, unique, columns if complete else (), missing, drop=marks, only=is_true(whole) if required else None)
 
 
 def assemble_scores(tables: dict, key: str = "id", score: str = "score") -> DataFrame:

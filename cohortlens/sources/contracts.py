@@ -1,10 +1,10 @@
 """Table contracts.
 
-``assert_*`` look before something is done, in a job of their own. ``write_checked`` looks while a table is written: what it
-reports comes from the run that writes it.
+``assert_*`` look before something is done, in a job of their own. ``write_checked`` looks at a table that it has written, so the
+table's plan runs once.
 """
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
@@ -39,30 +39,30 @@ class ContractError(ValueError):
 
 
 def write_checked(df: DataFrame, path: str, unique=None, not_null=(), counts: dict | None = None, none_of=(),
-                  drop=()) -> tuple[DataFrame, dict]:
-    """Write ``df`` as Parquet and check it in the same run. Gives a scan of it and a report: ``rows``, ``repeated`` (rows whose
-    ``unique`` key is not), ``null <column>`` for ``not_null``, and ``counts`` (name -> condition) of any other kind. Repeated keys,
-    missing values and a count named by ``none_of`` raise a ``ContractError``.
+                  drop=(), only: Column | None = None) -> tuple[DataFrame, dict]:
+    """Write ``df`` as Parquet and check what was written: its plan runs once, and the figures come from a scan of the few columns
+    that they need. Gives a scan of the table and a report: ``rows``, ``repeated`` (rows whose ``unique`` key is not), ``null <column>``
+    for ``not_null``, and ``counts`` (name -> condition) of any other kind. Repeated keys, missing values and a count named by
+    ``none_of`` raise a ``ContractError``.
 
     Keys are counted by a window on them, which needs no further shuffle where the last join or aggregate was on them.
-    ``drop`` names columns that conditions need and the table does not. A stage that is run again after a loss may count rows
-    twice; whether a figure is 0 is always right.
+    ``drop`` names columns that conditions need and the table does not. With ``only``, other rows are in the files and in ``counts``,
+    but neither in the table nor in the rest of the report.
     """
-    counts = {k: v for k, v in (counts or {}).items()}
-    figures: dict[str, Column] = {"rows": F.count(F.lit(1))}
+    kept = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    figures: dict[str, Column] = {"rows": F.count_if(kept)}
     helpers = list(drop)
     if unique is not None:
         keys = [unique] if isinstance(unique, str) else list(unique)
         df = df.withColumn("__copies", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        figures["repeated"] = F.count_if(F.col("__copies") > 1)
+        figures["repeated"] = F.count_if(kept & (F.col("__copies") > 1))
         helpers.append("__copies")
-    figures |= {f"null {c}": F.count_if(F.col(c).isNull()) for c in not_null}
-    figures |= {k: F.count_if(v) for k, v in counts.items()}
-    seen = Observation()
-    df.observe(seen, *[v.alias(k) for k, v in figures.items()]).drop(*helpers).write.parquet(path)
-    # A run without rows may report nothing.
-    report = {k: (seen.get or {}).get(k) or 0 for k in figures}
+    figures |= {f"null {c}": F.count_if(kept & F.col(c).isNull()) for c in not_null}
+    figures |= {k: F.count_if(v) for k, v in (counts or {}).items()}
+    df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    report = written.agg(*[v.alias(k) for k, v in figures.items()]).first().asDict()
     bad = {k: n for k, n in report.items() if n and (k == "repeated" or k.startswith("null ") or k in none_of)}
     if bad:
         raise ContractError(f"contract broken: {bad}", report, path)
-    return df.sparkSession.read.schema(df.drop(*helpers).schema).parquet(path), report
+    return (written if only is None else written.where(kept)).drop(*helpers), report
