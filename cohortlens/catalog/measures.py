@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cohortlens.catalog.registry import ORACLE, query, with_views
-from cohortlens.catalog.sql_parts import THRESHOLD, p_sql, poisson_sql, t_sql, versus, z_mean, z_prop
+from cohortlens.catalog.sql_parts import THRESHOLD, p_sql, t_sql, versus, z_mean, z_prop
 from cohortlens.plans import measures as m
 
 CUTS_SQL = "(" + " UNION ALL ".join(f"SELECT {c}::DOUBLE AS cut" for c in m.CUTS) + ")"
@@ -329,17 +329,20 @@ def rank_swap(r):
     return m.calibration_swap(r.scores.where("valid = 1"), exact_size=True)
 
 
+STEPS = " + ".join(f"CASE WHEN u >= {s} THEN 1 ELSE 0 END" for s in m.POISSON_STEPS)
+
+
 @query("m28_bootstrap_ci", f"""
 WITH src AS (SELECT * FROM scores_v WHERE valid=1), {_bins_sql(10)},
-d AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('#', grp, bin, y, '0', r)), 1, 13) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-  FROM (SELECT grp, bin, y, count(*) AS n FROM binned GROUP BY grp, bin, y), (SELECT unnest(range(0, 1000)) AS r)),
-{poisson_sql('d')},
-s AS (SELECT grp, bin, r, sum(w*y)::DOUBLE/nullif(sum(w),0) AS m FROM weighted GROUP BY grp, bin, r),
-ci AS (SELECT grp, bin, quantile_cont(m, 0.025::DOUBLE) AS low, quantile_cont(m, 0.975::DOUBLE) AS high FROM s GROUP BY grp, bin)
+d AS (SELECT grp, bin, y, k.pack, md5(concat_ws('#', id, '0', k.pack)) AS h FROM binned, (SELECT unnest(range(0,125)) AS pack) k),
+u AS (SELECT grp, bin, y, pack*8+s.s AS r, CAST('0x' || substr(h, 4*s.s+1, 4) AS INTEGER) AS u FROM d, (SELECT unnest(range(0,8)) AS s) s),
+w AS (SELECT grp, bin, r, sum(w) AS sw, sum(w*y) AS sx FROM (SELECT grp, bin, r, y, {STEPS} AS w FROM u) GROUP BY grp, bin, r),
+ci AS (SELECT grp, bin, quantile_cont(sx::DOUBLE/nullif(sw,0), 0.025::DOUBLE) AS low, quantile_cont(sx::DOUBLE/nullif(sw,0), 0.975::DOUBLE) AS high
+  FROM w GROUP BY grp, bin)
 SELECT grp, bin, n, mean, low, high FROM (SELECT grp, bin, count(*) AS n, avg(y) AS mean FROM binned GROUP BY grp, bin) JOIN ci USING (grp, bin)
 """)
 def bootstrap_ci(r):
-    return m.bootstrap_ci(m.with_bins(r.scores.where("valid = 1"), 10), ["grp", "bin"], "y")
+    return m.bootstrap_ci(m.with_bins(r.scores.where("valid = 1"), 10), ["grp", "bin"], "y", "id")
 
 
 @query("m29_pooled_segments", """

@@ -50,17 +50,6 @@ def normal_quantile_sql(u: str) -> str:
     return f"CASE WHEN {u} < {TAIL}::DOUBLE THEN {tail(u)} WHEN {u} > 1 - {TAIL}::DOUBLE THEN -({tail(f'(1 - {u})')}) ELSE {middle} END"
 
 
-def poisson_sql(draws: str) -> str:
-    """Common table expressions that add ``w`` to the columns of ``draws`` (n, a count, and u, uniform): table ``weighted``."""
-    return f"""pmf AS (SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto
-  FROM (SELECT n, unnest(range(0, 17 + (n + 8 * sqrt(n))::BIGINT)) AS k FROM (SELECT DISTINCT n FROM {draws} WHERE n <= {WALKED}))),
-low AS (SELECT n, list(upto ORDER BY k) AS steps FROM pmf GROUP BY n),
-far AS (SELECT *, {normal_quantile_sql('u')} AS z FROM {draws}),
-weighted AS (SELECT far.*, CASE WHEN far.n <= {WALKED} THEN len(list_filter(low.steps, lambda x: x < u)) ELSE
-  greatest(floor(far.n + sqrt(far.n) * z + 1 / 3::DOUBLE + z * z / 6 - (z / 36 + z * z * z / 72) / sqrt(far.n)
-  + {polynomial_sql('(z * z)', [1 / 270, 7 / 810, -8 / 405])} / far.n), 0) END::BIGINT AS w FROM far LEFT JOIN low USING (n))"""
-
-
 def z_prop(n1, p1, n2, p2) -> str:
     return (f"(({p2}-{p1})/nullif(sqrt({p2}*(1-{p2})/nullif({n2}-1,0)+{p1}*(1-{p1})/nullif({n1}-1,0)),0))")
 

@@ -13,6 +13,7 @@ from cohortlens.operators.aggs import _cols
 from cohortlens.operators.ranking import cumulate, ordinal_rank, quantiles
 from cohortlens.plans.swap import first_crossings
 from cohortlens.sources.scan import sink, work_folder
+from cohortlens.sources.shuffles import partitions
 
 # Quantile cuts of the bias tables.
 CUTS = [0.1, 0.2, 0.25, 0.3, 0.33, 0.4, 0.5, 0.6, 0.67, 0.7, 0.75, 0.8, 0.9]
@@ -309,22 +310,56 @@ def ols1(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
         "p_value", t_two_sided_p(F.col("t"), F.col("__n") - 2)).drop("__n")
 
 
+# Cumulative Poisson(1) probabilities in units of 2^-16.
+POISSON_STEPS = [24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]
+
+
 def bootstrap_ci(df: DataFrame, by, x: str, ids=None, b: int = 1000, seed=0, level: float = 0.95) -> DataFrame:
-    """Poisson bootstrap interval of a group mean, drawn from the counts of the group's values.
+    """Poisson bootstrap interval of a group mean: of every row by itself with ``ids``, else drawn from the counts of the group's values."""
+    by = _cols(by)
+    means = _means_of_counts(df, by, x, b, seed) if ids is None else _means_of_rows(df, by, x, _cols(ids), b, seed)
+    tail = (1 - level) / 2
+    ci = means.groupBy(*by).agg(F.percentile("__m", F.lit([tail, 1 - tail])).alias("__ci"))
+    point = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"))
+    return point.join(ci, by).select(*by, "n", "mean", F.col("__ci")[0].alias("low"), F.col("__ci")[1].alias("high"))
+
+
+def _means_of_rows(df: DataFrame, by: list, x: str, ids: list, b: int, seed) -> DataFrame:
+    """Group means of each replicate, every row with a weight of its own.
+
+    A row's weight in replicate r comes from 16 bits of a seeded digest, so one digest serves eight replicates. Replicates are
+    added up next to the data before any shuffle; what moves is one partial sum per group and pack of replicates.
+    """
+    packs = F.explode(F.sequence(F.lit(0), F.lit((b + 7) // 8 - 1))).alias("__pack")
+    digest = F.md5(F.concat_ws("#", *[F.col(i).cast("string") for i in ids], F.lit(str(seed)), F.col("__pack").cast("string")))
+    # A row becomes many: dealt by a fixed number, since adaptive execution would join these partitions for their few bytes.
+    rows = df.where(F.col(x).isNotNull()).repartition(partitions(df.sparkSession), *ids)
+    draws = rows.select(*by, x, *[i for i in ids if i not in [*by, x]], packs).withColumn("__d", digest)
+
+    def weight(slot):
+        u = F.conv(F.substring(F.col("__d"), 4 * slot + 1, 4), 16, 10).cast("int")
+        return sum(((u >= step).cast("int") for step in POISSON_STEPS), F.lit(0))
+
+    sums = []
+    for s in range(8):
+        sums += [F.sum(weight(s)).alias(f"__w{s}"), F.sum(weight(s) * F.col(x)).alias(f"__x{s}")]
+    totals = draws.groupBy(*by, "__pack").agg(*sums)
+    replicates = F.explode(F.array(*[
+        F.struct((F.col("__pack") * 8 + s).alias("r"), ratio(F.col(f"__x{s}"), F.col(f"__w{s}")).alias("m")) for s in range(8)])).alias("__of")
+    return totals.select(*by, replicates).where(F.col("__of.r") < b).select(*by, F.col("__of.m").alias("__m"))
+
+
+def _means_of_counts(df: DataFrame, by: list, x: str, b: int, seed) -> DataFrame:
+    """Group means of each replicate, rows that agree in group and value drawn together.
 
     Rows of one group and value have independent Poisson weights of mean 1 in a replicate, so their sum is one Poisson draw whose
     mean is their count. A replicate costs a draw for each value, whatever the number of rows; draws are quantiles of a seeded
-    digest of group, value and replicate. ``ids`` isn't needed: rows that agree in group and value are drawn together.
+    digest of group, value and replicate.
     """
-    by = _cols(by)
     values = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("__n"))
     draws = values.select(*by, x, "__n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("__r"))
     weight = poisson_quantile(uniform(*[F.col(c) for c in by], F.col(x), F.lit(str(seed)), F.col("__r")), F.col("__n"))
-    means = draws.withColumn("__w", weight).groupBy(*by, "__r").agg(ratio(F.sum(F.col("__w") * F.col(x)), F.sum("__w")).alias("__m"))
-    tail = (1 - level) / 2
-    ci = means.groupBy(*by).agg(F.percentile("__m", F.lit([tail, 1 - tail])).alias("__ci"))
-    point = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"))
-    return point.join(ci, by).select(*by, "n", "mean", F.col("__ci")[0].alias("low"), F.col("__ci")[1].alias("high"))
+    return draws.withColumn("__w", weight).groupBy(*by, "__r").agg(ratio(F.sum(F.col("__w") * F.col(x)), F.sum("__w")).alias("__m"))
 
 
 def pr_threshold(df: DataFrame, by=(), score: str = "score", y: str = "y", cap: float = 0.8) -> DataFrame:
