@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog.registry import ORACLE, query, with_views
 from cohortlens.catalog.sql_parts import THRESHOLD, p_sql, t_sql, versus, z_mean, z_prop
 from cohortlens.plans import measures as m
+from cohortlens.sources.scan import sink, work_folder
 
 CUTS_SQL = "(" + " UNION ALL ".join(f"SELECT {c}::DOUBLE AS cut" for c in m.CUTS) + ")"
 
@@ -54,9 +55,9 @@ SELECT grade AS actual, pred, count(*) AS n FROM (SELECT grade,
 def confusion_by_grade(r):
     from cohortlens.functions.grades import OUTCOME, PASSED_WELL
 
-    g = r.enrolment.where(F.col("grade").isin(OUTCOME)).select(
+    g = sink(r.enrolment.where(F.col("grade").isin(OUTCOME)).select(
         "grade", "strm", (((F.col("credit") * 37 + F.col("strm") * 13 + F.col("section") * 7) % 100) / 100).alias("score"),
-        F.col("grade").isin(PASSED_WELL).cast("int").alias("y"))
+        F.col("grade").isin(PASSED_WELL).cast("int").alias("y")), work_folder(r.spark))
     return m.confusion(m.with_threshold(g.where("strm >= 2000"), g.where("strm < 2000")), rows="grade")
 
 
