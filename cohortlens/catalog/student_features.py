@@ -18,6 +18,7 @@ from cohortlens.plans import external as ext
 from cohortlens.plans import measures as m
 from cohortlens.plans import students as st
 from cohortlens.sources.scan import work_folder
+from cohortlens.sources.shuffles import deal
 
 KINDS = {"associate": ("AA&S", "AAS"), "certificate": ("CERT",), "diploma": ("CSC",)}
 
@@ -88,8 +89,8 @@ trec AS (SELECT rt.*, college_entropy FROM rt LEFT JOIN ent USING (student))"""
 
 
 def term_record_of(r):
-    gpa = r.snapshots.groupBy("student", "strm").agg(F.sum("total_credit_hrs").alias("term_cred_gpa"))
-    return st.term_record(r.enrolment, gpa)
+    gpa = deal(r.snapshots, "student").groupBy("student", "strm").agg(F.sum("total_credit_hrs").alias("term_cred_gpa"))
+    return st.term_record(r.enrolment, gpa, work_folder(r.spark))
 
 
 @query("l04_term_record", f"WITH {RECORD} SELECT * FROM trec")

@@ -59,10 +59,11 @@ def elapsed_terms(enrolled: DataFrame, outcome: DataFrame, current_terms, longes
         F.col("nth_term") <= longest)
 
 
-def term_record(classes: DataFrame, gpa_credits: DataFrame) -> DataFrame:
+def term_record(classes: DataFrame, gpa_credits: DataFrame, folder: str) -> DataFrame:
     """Term academic record: attempted, earned, withdrawn, level and developmental credit, GPA, college mix.
 
-    ``gpa_credits``: student, strm, term_cred_gpa; class credits are scaled up to it where they fall short.
+    ``gpa_credits``: student, strm, term_cred_gpa; class credits are scaled up to it where they fall short. The sums by term and
+    college, which are read twice, are stored below ``folder`` in buckets of the student.
     """
     from cohortlens.plans.courses import fill_grades
 
@@ -79,6 +80,7 @@ def term_record(classes: DataFrame, gpa_credits: DataFrame) -> DataFrame:
     per = per.join(gpa_credits, ["student", "strm"], "left").withColumn("wanted", zero(F.col("term_cred_gpa")).cast("double"))
     short = F.sum("credit").over(colleges)
     per = per.withColumn("factor", F.when(short < F.col("wanted"), F.coalesce(ratio(F.col("wanted"), short), F.lit(1.0))).otherwise(1.0))
+    per = bucketed(per, f"{folder}/by_college", "student", dealt=True)
     scaled = ["term_withdrawn", "term_cred_earn", "term_cred_att_2", "term_lvl2_att", "term_dev_att"]
     terms = per.groupBy("student", "strm").agg(
         F.greatest(F.sum("credit"), F.max("wanted")).alias("term_cred_att"),
