@@ -282,6 +282,17 @@ def test_quality_thresholds_count_all_trusted_documents(spark):
     assert sum(r.kept for r in got) >= 57
 
 
+def test_quality_model_counts_all_trusted_documents(spark, monkeypatch):
+    rows = plain_texts(range(600), 17)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 > 0)) for r in rows], "doc_id long, quality int")
+    sizes, fit = [], op10_kneser_ney.fit_counts
+    monkeypatch.setattr(op10_kneser_ney, "fit_counts", lambda three: sizes.append(three.groupBy().sum("n").first()[0]) or fit(three))
+    kept = op10_kneser_ney.judge(df, labels).where("kept").count()
+    assert sizes[0] == sum(len(t) for i, t, _ in rows if i % 3) == sizes[1] + sizes[2] and min(sizes) > sizes[0] / 3
+    assert kept >= 590
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([("abcabcabd",), ("the cat sat on the mat",)], "text string")
     table = np.exp(op10_kneser_ney.fit(df).dense().astype(np.float64)).reshape(257, 257, 257)
