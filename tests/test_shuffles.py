@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.operators.joins import spells_to_terms
 from cohortlens.plans.courses import fill_grades
@@ -51,3 +52,31 @@ def test_terms_of_spells_need_no_exchange_after_the_students_are_dealt(spark, ta
     monkeypatch.setattr(shuffles, "ROWS_PER_TASK", 1)
     plan = views(spark, tables)["terms"]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(student" not in plan and "Exchange hashpartitioning(o_custkey" in plan
+
+
+def test_enrolments_in_buckets_are_the_same_and_are_not_dealt_again(spark, tables):
+    from cohortlens.plans import courses as c
+    from cohortlens.sources.buckets import exchanges
+
+    plain = Records(spark, tables)
+    stored = plain.by_student()
+    for view in ("enrolment", "snapshots"):
+        assert sorted(map(str, getattr(stored, view).collect())) == sorted(map(str, getattr(plain, view).collect()))
+    same = lambda f: sorted(map(str, f(plain).collect())) == sorted(map(str, f(stored).collect()))
+    assert same(lambda r: fill_grades(r.enrolment, r.dealt)) and same(lambda r: c.section_predictors(r.enrolment, r.dealt))
+    assert exchanges(fill_grades(stored.enrolment, stored.dealt).groupBy("student", "strm").count()) == 0
+    assert exchanges(fill_grades(plain.enrolment, plain.dealt)) > 0
+
+
+def test_blocks_of_students_are_assembled_without_an_exchange(spark, tmp_path):
+    from cohortlens.operators.joins import assemble_checked
+    from cohortlens.sources.buckets import bucketed
+
+    base = spark.range(40).select((F.col("id") % 7).alias("student"), F.col("id").alias("strm"), F.col("id").alias("section"))
+    mine = bucketed(base.select("student", "strm", (F.col("strm") * 2).alias("a")), f"{tmp_path}/a", "student", 4)
+    other = base.where("section <> 3").select("section", (F.col("section") + 1).alias("b"))
+    blocks = {"mine": (mine, ["student", "strm"]), "other": (other, ["section"])}
+    plain, report = assemble_checked(base, blocks, f"{tmp_path}/plain", "strm")
+    dealt, found = assemble_checked(base, blocks, f"{tmp_path}/dealt", "strm", dealt_by="student")
+    assert dealt.columns == plain.columns == ["section", "student", "strm", "a", "b"]
+    assert sorted(dealt.collect()) == sorted(plain.collect()) and report == found and report["without other"] == 1
