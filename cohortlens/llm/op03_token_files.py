@@ -21,12 +21,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.llm.common import texts_of, trimmed
+from cohortlens.llm.common import trimmed
 
 BLOCK, SEGMENT, SHARE = 128, 1 << 18, 0.9
 MEMO = 500_000
+#: Texts that are encoded together.
+ROWS = 1024
 
 #: What a piece may not hold to be split here, and the tokenizer's split pattern over lower-case Latin-1 (fixed values: letters
 #: and numbers among its characters), or the end of a piece.
@@ -110,17 +113,22 @@ class WordEncoder:
         words["\n"] = self._STOP
         self.pieces.update(zip(new, b"".join([words[w] for w in cut]).split(self._STOP)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers. ``texts``: an Arrow array of strings, or a list. Each distinct
+        piece of them is looked up once; Arrow splits the texts and puts the pieces' ids together."""
         self.pieces = pieces = trimmed(self.pieces, MEMO)
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        get = pieces.get
-        found = [[get(p) for p in part] for part in split]
-        new = list({p for part, codes in zip(split, found) if None in codes for p, c in zip(part, codes) if c is None})
+        whole = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(whole.fill_null(""), "\n", " "), " ")
+        places = split.flatten().dictionary_encode()
+        distinct = places.dictionary.to_pylist()
+        new = [p for p in distinct if p not in pieces]
         if new:
             self._learn(new)
-        return [b"".join([pieces[p] if c is None else c for p, c in zip(part, codes)]) if None in codes else b"".join(codes)
-                for part, codes in zip(split, found)]
+        codes = pa.array([pieces[p] for p in distinct], pa.large_binary()).take(places.indices)
+        _, offsets, data = codes.buffers()
+        ends = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist() if len(codes) else [0]
+        stream = memoryview(data or b"")
+        return [bytes(stream[i:j]) for i, j in zip(ends, ends[1:])]
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -214,9 +222,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, tex
             return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) for f in schema], schema=schema)
 
         for whole in batches:
-            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+            for batch in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
                 found = batch.column("doc_id").to_pylist()
-                for d, code in zip(found, encoder.encode(texts_of(batch, "text"))):
+                for d, code in zip(found, encoder.encode(batch.column("text"))):
                     code += end
                     if size and size + len(code) // 4 > SEGMENT:
                         yield row()

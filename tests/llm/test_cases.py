@@ -298,3 +298,26 @@ def test_kneser_ney_sums_to_one(spark):
     table = np.exp(op10_kneser_ney.fit(df).dense().astype(np.float64)).reshape(257, 257, 257)
     for a, b in (("t", "h"), ("a", "b"), ("z", "z")):
         assert table[ord(a), ord(b)].sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_word_encoder_looks_up_each_piece_of_a_batch_once():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        seen = 0
+
+        def get(self, *rest):
+            Counted.seen += 1
+            return super().get(*rest)
+
+        def __getitem__(self, key):
+            Counted.seen += 1
+            return super().__getitem__(key)
+
+    encoder = op03_token_files.WordEncoder(WORD_BPE)
+    encoder.pieces = Counted()
+    texts = ["one two one, two\nand  THREE"] * 200 + [None, ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts).slice(1))]
+    assert got == [e.ids for e in Tokenizer.from_file(WORD_BPE).encode_batch([t or "" for t in texts[1:]], add_special_tokens=False)]
+    assert Counted.seen <= 7 and encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
